@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, url_rules
+from . import decontaminate, exact_dedup, simhash, url_rules
 from .common import table
 
 URL_RULES = [
@@ -43,7 +43,12 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, url_rules.rules_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op6_decontaminate, op8_url_rules)}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op6_decontaminate, op8_url_rules, op9_simhash)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
