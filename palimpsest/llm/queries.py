@@ -6,10 +6,11 @@ the digest columns from the operator's outputs.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, simhash, url_rules
+from . import bpe, decontaminate, exact_dedup, simhash, url_rules
 from .common import table
 
 URL_RULES = [
@@ -20,6 +21,8 @@ URL_RULES = [
     url_rules.Rule("org", "/es/", "block"),
 ]
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -38,6 +41,23 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """``doc_id`` with the digests of its token ids and of what they decode to."""
+    tokenizer = bpe.Tokenizer(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    rows = tokenizer.decode(tokenizer.encode(docs, keep=["doc_id"]))
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge(pages, url_rules.rules_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
@@ -48,7 +68,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op6_decontaminate, op8_url_rules, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op6_decontaminate, op7_bpe, op8_url_rules, op9_simhash)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
