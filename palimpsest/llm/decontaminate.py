@@ -25,7 +25,7 @@ BLOCK_BYTES = 2_000_000
 #: Bytes that words consist of stay (A-Z in lower case), others become spaces. All bytes of
 #: multi-byte characters are word bytes.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORD = re.compile(r"[^ ]+")
 
 RESULT = "words long, hits array<struct<first:long,last:long>>, spans array<struct<start:long,end:long>>, items array<string>"
 
@@ -146,7 +146,7 @@ def _scanner(shared):
                     spans.append([])
                     continue
                 first, last = _ranges(flags)
-                places = [m.span() for m in _WORD.finditer(raw.decode("utf-8", "surrogateescape"))]
+                places = [m.span() for m in _WORD.finditer(raw.translate(_TABLE).decode("utf-8", "surrogateescape"))]
                 hits.append([{"first": int(a), "last": int(b)} for a, b in zip(first, last, strict=True)])
                 spans.append([{"start": places[a][0], "end": places[b - 1][1]} for a, b in zip(first, last, strict=True)])
             new = {"words": n, "hits": hits, "spans": spans, "items": items}
