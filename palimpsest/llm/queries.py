@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, simhash, url_rules
+from . import bpe, decontaminate, exact_dedup, simhash, suffix_dedup, url_rules
 from .common import table
 
 URL_RULES = [
@@ -24,6 +24,11 @@ URL_RULES = [
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -68,7 +73,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op6_decontaminate, op7_bpe, op8_url_rules, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_exact_dedup, op6_decontaminate, op7_bpe, op8_url_rules, op9_simhash)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
