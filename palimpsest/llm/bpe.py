@@ -29,7 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes whose distinct pre-tokens share one queue.
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 8_000_000
+#: Token ids decoded at once.
+DECODED = 1 << 18
 _EMPTY = np.iinfo(np.int64).max
 #: White space as the Unicode property has it.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -258,6 +260,12 @@ def _gather(flat: np.ndarray, starts: np.ndarray, picks: np.ndarray) -> tuple[np
     return flat[np.arange(total) + np.repeat(starts[picks] - (ends - sizes), sizes)], sizes
 
 
+def decode_ids(flat: np.ndarray, vocabulary: Vocabulary) -> tuple[bytes, np.ndarray]:
+    """The bytes of all ids, and where each id's bytes start (with the end at last)."""
+    parts = [_gather(vocabulary.flat, vocabulary.starts, flat[i : i + DECODED].astype(np.int64))[0].tobytes() for i in range(0, len(flat), DECODED)]
+    return b"".join(parts), np.concatenate(([0], np.cumsum((vocabulary.starts[1:] - vocabulary.starts[:-1])[flat])))
+
+
 def encode_texts(raws: list[bytes], vocabulary: Vocabulary, pattern: str) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts, and where each text's ids start (with the end at last)."""
     names: dict[str, int] = defaultdict(count().__next__)
@@ -278,11 +286,11 @@ def _vocabulary(shared, name: str) -> Vocabulary:
     return _HELD[name]
 
 
-def _portions(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Slices of rows of about BATCH_BYTES each."""
+def _portions(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Slices of rows whose sizes add up to ``most`` at most, or of one row."""
     start = held = 0
     for i, size in enumerate(sizes):
-        if held and held + size > BATCH_BYTES:
+        if held and held + size > most:
             yield start, i
             start, held = i, 0
         held += size
@@ -312,7 +320,7 @@ class Tokenizer:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 raws = batch.column("__raw")
-                for a, b in _portions(pa.compute.binary_length(raws).to_pylist()):
+                for a, b in _portions(pa.compute.binary_length(raws).to_pylist(), BATCH_BYTES):
                     flat, starts = encode_texts(raws.slice(a, b - a).to_pylist(), _vocabulary(shared, name), pattern)
                     made = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))
                     yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in names), made], names=[*names, ids])
@@ -328,13 +336,12 @@ class Tokenizer:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 vocabulary = _vocabulary(shared, name)
-                lists = batch.column(ids)
-                flat, sizes = _gather(vocabulary.flat, vocabulary.starts, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-                cuts = np.concatenate(([0], np.cumsum(sizes)))
-                lengths = [n or 0 for n in pa.compute.list_value_length(lists).to_pylist()]
-                ends = cuts[np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)]
-                view, empty = memoryview(flat), lists.is_null().to_pylist()
-                made = pa.array([None if empty[k] else bytes(view[ends[k] : ends[k + 1]]) for k in range(len(lists))], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), made], names=[*names, out])
+                sizes = pa.compute.fill_null(pa.compute.list_value_length(batch.column(ids)), 0).to_pylist()
+                for a, b in _portions(sizes, 4 * DECODED):
+                    lists = batch.column(ids).slice(a, b - a)
+                    raw, starts = decode_ids(lists.flatten().to_numpy(zero_copy_only=False), vocabulary)
+                    ends = starts[np.concatenate(([0], np.cumsum(sizes[a:b]))).astype(np.int64)].tolist()
+                    made = [None if empty else raw[ends[k] : ends[k + 1]] for k, empty in enumerate(lists.is_null().to_pylist())]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in names), pa.array(made, pa.binary())], names=[*names, out])
 
         return rows.mapInArrow(run, schema)
