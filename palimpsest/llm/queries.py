@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, simhash, suffix_dedup, url_rules
-from .common import table
+from . import bpe, decontaminate, exact_dedup, language_crf, rule_ensemble, simhash, suffix_dedup, url_rules
+from .common import held_out, table
 
 URL_RULES = [
     url_rules.Rule("com", "/en/", "block"),
@@ -33,6 +33,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rule_ensemble.train(docs, table(spark, sf_dir, "labels"))
+    return rule_ensemble.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_crf.identify(docs.select("doc_id", "text"), language_crf.train(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_windows(docs, table(spark, sf_dir, "benchmark"))
@@ -73,7 +85,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_exact_dedup, op6_decontaminate, op7_bpe, op8_url_rules, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_exact_dedup, op3_rule_ensemble, op5_language_crf, op6_decontaminate, op7_bpe, op8_url_rules, op9_simhash)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
