@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, language_crf, rule_ensemble, simhash, suffix_dedup, url_rules
+from . import bpe, cross_entropy, decontaminate, exact_dedup, language_crf, rule_ensemble, simhash, suffix_dedup, url_rules
 from .common import held_out, table
 
 URL_RULES = [
@@ -85,7 +85,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_exact_dedup, op3_rule_ensemble, op5_language_crf, op6_decontaminate, op7_bpe, op8_url_rules, op9_simhash)}
+def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = cross_entropy.score(docs, cross_entropy.targets(labels))
+    return found.select("doc_id", "is_target", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_exact_dedup, op3_rule_ensemble, op5_language_crf, op6_decontaminate, op7_bpe, op8_url_rules, op9_simhash, op10_cross_entropy)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
@@ -145,4 +151,27 @@ ORACLE_SQL = {
                CASE WHEN rule IS NULL OR rule = 'example.com/en/7' THEN 'allow' ELSE 'block' END AS verdict
         FROM judged
     """,
+    "op10_cross_entropy": r"""
+        WITH ids AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+        d AS (
+          SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id IN (SELECT doc_id FROM ids), false) AS is_target,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+          FROM documents),
+        tok AS (SELECT r, is_target, i, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
+        voc AS (SELECT word FROM tok GROUP BY word HAVING count(*) * 16384 >= (SELECT count(*) FROM tok)),
+        known AS (SELECT r, i, is_target, coalesce(voc.word, '<unk>') AS word FROM tok LEFT JOIN voc USING (word)),
+        seq AS (SELECT r, is_target, word, coalesce(lag(word) OVER (PARTITION BY r ORDER BY i), '<s>') AS prev FROM known),
+        big AS (SELECT prev, word, count(*) FILTER (is_target) AS t, count(*) FILTER (NOT is_target) AS b FROM seq GROUP BY ALL),
+        uni AS (SELECT word, sum(t) AS ut, sum(b) AS ub FROM big GROUP BY word),
+        ctx AS (SELECT prev, sum(t) AS ct, sum(b) AS cb FROM big GROUP BY prev),
+        size AS (SELECT (SELECT count(*) FROM voc) + 1 AS v, (SELECT sum(ut) FROM uni) AS nt, (SELECT sum(ub) FROM uni) AS nb),
+        loss AS (
+          SELECT prev, word, -ln((t + 10.0 * (ut + 1) / (nt + v)) / (ct + 10)) AS lt, -ln((b + 10.0 * (ub + 1) / (nb + v)) / (cb + 10)) AS lb
+          FROM big JOIN uni USING (word) JOIN ctx USING (prev), size),
+        means AS (SELECT r, avg(lt) AS lt, avg(lb) AS lb FROM seq JOIN loss USING (prev, word) GROUP BY r)
+        SELECT doc_id, is_target, CAST(len(w) AS BIGINT) AS n_tokens, round(coalesce(lt, 0.0), 6) AS target_loss,
+               round(coalesce(lb, 0.0), 6) AS background_loss, round(coalesce(lt - lb, 0.0), 6) AS score
+        FROM d LEFT JOIN means USING (r)
+    """,
 }
