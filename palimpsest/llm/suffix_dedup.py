@@ -459,7 +459,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     met = counted.repartition("anchor").sortWithinPartitions("anchor", "h1", "h2").mapInArrow(_meet(group), f"{kinds}, whole boolean, hard long")
     wanted = met.where("hard > 0").groupBy("id", "key").agg(F.collect_list(F.struct("start", "windows", "anchor_at", "anchor", "h1", "h2", "hard")).alias("segments"))
     # Repeated rows are fetched twice, which adds nothing: all their windows are repeated.
-    fetched = rows.join(wanted, ["id", "key"]).select("__raw", "segments").mapInArrow(_fetch(length), _FETCHED)
+    # With doc_id the texts' exchange has the columns of the last one, so Spark makes it once.
+    fetched = rows.join(wanted, ["id", "key"]).select("__raw", "segments", "doc_id").mapInArrow(_fetch(length), _FETCHED)
     judged = fetched.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(_sort(length), "h1 long, h2 long, windows long, first long, size long")
     whole = met.where("whole").select("h1", "h2", "windows", F.lit(0).cast("long").alias("first"), F.col("windows").alias("size"))
     repeated = judged.unionByName(whole)
