@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cross_entropy, decontaminate, exact_dedup, language_crf, rule_ensemble, simhash, suffix_dedup, url_rules
+from . import bpe, cross_entropy, decontaminate, exact_dedup, language_crf, pii_crf, rule_ensemble, simhash, suffix_dedup, url_rules
 from .common import held_out, table
 
 URL_RULES = [
@@ -39,6 +39,18 @@ def op3_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii_crf.find_personal_data(docs, pii_crf.train())
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        *(F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii_crf.KINDS),
+        F.sha2(listed("base"), 256).alias("base_sha256"),
+        listed("spans").alias("spans"),
+    )
+
+
 def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language_crf.identify(docs.select("doc_id", "text"), language_crf.train(docs))
@@ -91,7 +103,7 @@ def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "is_target", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_exact_dedup, op3_rule_ensemble, op5_language_crf, op6_decontaminate, op7_bpe, op8_url_rules, op9_simhash, op10_cross_entropy)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_exact_dedup, op3_rule_ensemble, op4_pii_crf, op5_language_crf, op6_decontaminate, op7_bpe, op8_url_rules, op9_simhash, op10_cross_entropy)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
