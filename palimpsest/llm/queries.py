@@ -42,10 +42,11 @@ def op3_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii_crf.find_personal_data(docs, pii_crf.train())
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select(
         "doc_id",
-        *(F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii_crf.KINDS),
+        *map(count, pii_crf.KINDS),
         F.sha2(listed("base"), 256).alias("base_sha256"),
         listed("spans").alias("spans"),
     )
