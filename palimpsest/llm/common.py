@@ -13,15 +13,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage, into the folder all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, which the cluster names in ``spark.checkpoint.dir``.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; a session without one (a
-    test) gets a temporary folder.
+    A session without one (a test) gets a temporary folder.
     """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="palimpsest-"))
+    return named or context._jsc.sc().getCheckpointDir().get()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage, into the folder all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
