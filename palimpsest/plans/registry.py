@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from . import findings
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "report_versions"
+for module in (findings,):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
