@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import findings
+from . import findings, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "report_versions"
-for module in (findings,):
+for module in (findings, texts):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
