@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import findings, texts
+from . import findings, markets, models, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "report_versions"
-for module in (findings, texts):
+for module in (findings, texts, markets, models):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

@@ -80,7 +80,7 @@ def yearly_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("symbol"), F.col("l_shipdate").cast("date").alias("day")).agg(
-        F.round(F.min(F.col("l_extendedprice") / F.col("l_quantity")), 4).alias("close")
+        (F.floor(F.min(F.col("l_extendedprice") / F.col("l_quantity")) * 100) / 100.0).alias("close")
     ).select("symbol", "day", F.when(F.dayofmonth("day") % 9 != 4, F.col("close")).otherwise(0.0).alias("adj_close"), "close")
 
 
@@ -143,7 +143,7 @@ CTES = {
         SELECT conv_id * 100 + y AS accession, section, CASE WHEN length(text) < 60 THEN 'too_short' ELSE 'found' END AS status, text FROM texts UNION ALL
         SELECT conv_id * 100 + y + 50, section, CASE WHEN length(text) < 60 THEN 'too_short' ELSE 'found' END, text || ' as amended later' FROM texts WHERE conv_id % 5 = 0)""",
     "prices": """daily AS (
-        SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS day, round(min(l_extendedprice / l_quantity), 4) AS close FROM lineitem GROUP BY ALL),
+        SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS day, floor(min(l_extendedprice / l_quantity) * 100) / CAST(100.0 AS DOUBLE) AS close FROM lineitem GROUP BY ALL),
     daily_prices AS (SELECT symbol, day, CASE WHEN day(day) % 9 <> 4 THEN close ELSE 0.0 END AS adj_close, close FROM daily)""",
     "facts": """facts AS (
         SELECT l_orderkey AS accession, CASE l_returnflag WHEN 'A' THEN 'Revenues' WHEN 'N' THEN 'SalesRevenueNet' ELSE 'EntityPublicFloat' END AS concept,
