@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import HELD_OUT, fold
 
 #: Documents the field is fitted on at most (those of the least hashes of their ids), of at most so many characters each.
-SAMPLE_DOCS, SAMPLE_CHARS = 3000, 20_000
+SAMPLE_DOCS, SAMPLE_CHARS = 2000, 6_000
 #: Words of a sequence; a longer text is several sequences.
 SEQUENCE = 64
 TABLE_BITS = 16
@@ -184,8 +184,10 @@ def fit(texts: list[str], languages: list[str], rounds: int = 3, seed: int = 0)
 def train(docs: DataFrame) -> Model:
     """Fit on documents that are not held out and have a language, at most SAMPLE_DOCS of at most SAMPLE_CHARS characters."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).where(fold() != HELD_OUT)
-    rows = known.select("text", "lang", F.xxhash64("doc_id").alias("h")).orderBy("h", "text", "lang").limit(SAMPLE_DOCS).select("text", "lang").collect()
-    return fit([r[0] for r in rows], [r[1] for r in rows])
+    known = known.select("text", "lang", F.xxhash64("doc_id").alias("h"))
+    last = known.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]  # so that only the sample's texts travel
+    rows = sorted((r.h, r.text, r.lang) for r in known.where(F.col("h") <= F.lit(last).cast("long")).limit(2 * SAMPLE_DOCS).collect())
+    return fit([r[1] for r in rows], [r[2] for r in rows])
 
 
 def identify_texts(model: Model, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
