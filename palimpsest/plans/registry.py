@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import findings, markets, models, texts
+from . import files, findings, markets, models, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "report_versions"
-for module in (findings, texts, markets, models):
+for module in (findings, texts, markets, models, files):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
