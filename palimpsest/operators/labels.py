@@ -59,18 +59,20 @@ def passage(text: Column, mention: str = r"(?iU)\b(?:revenues?|net sales|total s
     """Lines that mention the figure and the ``window`` after each, without long prose that
     has no digit, up to the line that would exceed ``most`` characters."""
     lines = F.split(text, "\n")
-    mentions = F.transform(lines, lambda line: line.rlike(mention))
-    near = F.transform(lines, lambda line, i: F.struct(line.alias("line"), F.exists(F.slice(mentions, F.greatest(i - window + 1, F.lit(1)), F.least(i + 1, F.lit(window + 1))), lambda m: m).alias("near")))
-    kept = F.filter(near, lambda n: n["near"] & (n["line"].rlike("[0-9]") | (F.length(n["line"]) <= prose)))
-    lengths = F.transform(kept, lambda n: F.length(n["line"]))
-    state = F.struct(F.lit(0).alias("size"), F.lit(0).alias("n"), F.lit(False).alias("full"))
-
-    def step(s: Column, size: Column) -> Column:
-        full = s["full"] | (s["size"] + size > most)
-        return F.struct(F.when(full, s["size"]).otherwise(s["size"] + size + 1).alias("size"), (s["n"] + F.when(full, 0).otherwise(1)).alias("n"), full.alias("full"))
-
-    n = F.aggregate(lengths, state, step)["n"]
-    return F.array_join(F.transform(F.slice(kept, 1, n), lambda x: x["line"]), "\n")
+    # What is asked of a line is computed once, before the pass that carries the window and the size.
+    seen = F.transform(lines, lambda x: F.struct(x.alias("line"), x.rlike(mention).alias("m"), (x.rlike("[0-9]") | (F.length(x) <= prose)).alias("ok"), F.length(x).alias("n")))
+    state = F.struct(F.lit(0).alias("left"), F.lit(0).alias("size"), F.lit(False).alias("full"), F.array().cast("array<string>").alias("kept"))
+
+    def step(s: Column, x: Column) -> Column:
+        left = F.when(x["m"], window + 1).otherwise(s["left"] - 1)
+        wanted = (left > 0) & x["ok"] & ~s["full"]
+        fits = s["size"] + x["n"] <= most
+        return F.struct(
+            left.alias("left"), F.when(wanted & fits, s["size"] + x["n"] + 1).otherwise(s["size"]).alias("size"), (s["full"] | (wanted & ~fits)).alias("full"),
+            F.when(wanted & fits, F.array_append(s["kept"], x["line"])).otherwise(s["kept"]).alias("kept"),
+        )
+
+    return F.array_join(F.aggregate(seen, state, step)["kept"], "\n")
 
 
 def extraction_scores(rows: DataFrame, prediction: str = "prediction", tolerance: float = 0.005) -> DataFrame:

@@ -127,12 +127,12 @@ def area_under_curve(rows: DataFrame, keys: list[str], score: str, label: str) -
 def with_event_between(changes: DataFrame, reports: DataFrame, events: DataFrame, item: str = "2.01", flag: str = "had_deal") -> DataFrame:
     """``changes`` with whether an 8-K with ``item`` was filed strictly between the prior
     report's acceptance day and this one's (UTC days)."""
-    days = changes.join(reports.select(F.col("accession").alias("prior_accession"), F.col("accepted_at").alias("__from")), "prior_accession")
-    wanted = events.where((F.col("form") == "8-K") & F.col("items").contains(item)).select("cik", F.col("filing_date").alias("__day"))
-    inside = (F.col("__day") > F.col("__from").cast("date")) & (F.col("__day") < F.col("accepted_at").cast("date"))
-    hit = days.join(wanted, "cik").where(inside).select("accession", "section").distinct().withColumn("__hit", F.lit(True))
-    out = changes.join(hit, ["accession", "section"], "left")
-    return out.select(*changes.columns, F.coalesce("__hit", F.lit(False)).alias(flag))
+    since = reports.select(F.col("accession").alias("prior_accession"), F.col("accepted_at").cast("date").alias("__from"))
+    wanted = events.where((F.col("form") == "8-K") & F.col("items").contains(item))
+    days = wanted.groupBy("cik").agg(F.collect_set("filing_date").alias("__days"))  # no more than there are days
+    inside = F.exists("__days", lambda d: (d > F.col("__from")) & (d < F.col("accepted_at").cast("date")))
+    out = changes.join(since, "prior_accession", "left").join(days, "cik", "left")
+    return out.select(*changes.columns, F.coalesce(inside, F.lit(False)).alias(flag))
 
 
 def event_auc(changes: DataFrame, reports: DataFrame, events: DataFrame) -> DataFrame:
