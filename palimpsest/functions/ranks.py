@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import keep
+
 BUCKETS = 32
 
 
@@ -19,6 +21,7 @@ def value_counts(df: DataFrame, keys: list[str], value: str, buckets: int = BUCK
     ``sums`` are further columns to total per value. NaN counts as the largest value.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"), *(F.sum(c).alias(k) for k, c in sums.items()))
+    counted = keep(counted)  # what the quantiles are of is not computed again below
     cuts = sorted(set(counted.where(~F.isnan(value)).approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.01))) if buckets > 1 else []
     bucket = F.lit(0)
     for cut in cuts:

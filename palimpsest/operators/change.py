@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import keep
 
 
 def term_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -48,13 +49,13 @@ def section_changes(reports: DataFrame, sections: DataFrame) -> DataFrame:
     over those of years before the pair's acceptance year (NaN without any). A word unseen
     until then weighs as much as the rarest one seen.
     """
-    pairs = point_in_time_pairs(reports, sections)
-    cur = pairs.select("accession", "section", "text")
-    docs = cur.unionByName(pairs.select(F.col("prior_accession").alias("accession"), "section", F.col("prior_text").alias("text")))
-    docs = docs.dropDuplicates(["accession", "section"])
+    # The keys of the pairs are made once; texts are read by document, not by pair.
+    pairs = keep(point_in_time_pairs(reports, sections).drop("text", "prior_text"))
+    wanted = pairs.select("accession", "section").unionByName(pairs.select(F.col("prior_accession").alias("accession"), "section")).distinct()
+    docs = sections.where("status = 'found'").select("accession", "section", "text").join(wanted, ["accession", "section"])
     years = reports.groupBy("accession").agg(F.year(F.min("accepted_at")).alias("doc_year"))
     docs = docs.join(years, "accession")
-    counts = term_counts(docs, ["accession", "section", "doc_year"])
+    counts = keep(term_counts(docs, ["accession", "section", "doc_year"]))
 
     # Per (section, term): documents by year, an array no longer than there are years.
     by_year = counts.groupBy("section", "term", "doc_year").agg(F.count("*").alias("df"))
@@ -91,7 +92,7 @@ def section_changes(reports: DataFrame, sections: DataFrame) -> DataFrame:
         _cosine(F.col("w")).alias("sim_tfidf"),
         F.when(F.max("n_before") == 0, F.lit(float("nan"))).otherwise(_cosine(F.coalesce("wp", F.lit(0.0)))).alias("sim_tfidf_pit"),
     )
-    out = pairs.drop("text", "prior_text").join(sims, ["accession", "section"], "left")
+    out = pairs.join(sims, ["accession", "section"], "left")
     number = lambda c: F.coalesce(c, F.lit(float("nan"))).alias(c)
     return out.select(
         "cik", "section", "accession", "fiscal_period_end", "accepted_at", "prior_accession", "prior_period_end",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "palimpsest", master: str | None = None, **more: str) -> SparkSession:
@@ -24,3 +26,14 @@ def session(name: str = "palimpsest", master: str | None = None, **more: str) ->
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage, in the folder that ``spark.checkpoint.dir`` names.
+
+    A session without that setting (a test) gets a temporary folder.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-"))
+    return df.checkpoint()
