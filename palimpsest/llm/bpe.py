@@ -330,7 +330,7 @@ class Tokenizer:
     def decode(self, rows: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
         """``rows`` with the bytes of its ids; null ids give null. Unknown ids raise."""
         names = [c for c in rows.columns if c != out]
-        schema = rows.select(*names, F.lit(b"").alias(out)).schema
+        schema = rows.select(*names, F.when(F.col(ids).isNotNull(), F.lit(b"")).alias(out)).schema
         shared, name = rows.sparkSession.sparkContext.broadcast(self.content), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
