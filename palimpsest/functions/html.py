@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -34,11 +35,21 @@ def drop_content(html: Column) -> Column:
     return html
 
 
+def _replaced(text: Column, pattern: str, by: Callable[[Column], Column]) -> Column:
+    """All matches replaced by what ``by`` makes of them, in one pass over the text."""
+    plain = F.split(text, pattern, -1)
+    made = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), by)
+    return F.array_join(F.zip_with(plain, made, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+
+
 def split_tags(html: Column) -> Column:
     """Block tags become line breaks, cells blanks, other tags nothing."""
-    html = F.regexp_replace(html, rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?!{_NAME})[^>]*>", "\n")
-    html = F.regexp_replace(html, rf"(?i)</?(?:{'|'.join(CELL_TAGS)})(?!{_NAME})[^>]*>", " ")
-    return F.regexp_replace(html, rf"</?[A-Za-z]{_NAME}*[^>]*>", "")
+
+    def by(tag: Column) -> Column:
+        name = F.lower(F.regexp_extract(tag, rf"^</?([A-Za-z]{_NAME}*)", 1))
+        return F.when(name.isin(*BLOCK_TAGS), "\n").when(name.isin(*CELL_TAGS), " ").otherwise("")
+
+    return _replaced(html, rf"</?[A-Za-z]{_NAME}*[^>]*>", by)
 
 
 def _character(point: Column) -> Column:
@@ -63,9 +74,7 @@ def _resolved(entity: Column) -> Column:
 
 def resolve_entities(text: Column) -> Column:
     """Numeric and HTML 4 entities as their characters, in one pass; unknown names stay."""
-    plain = F.split(text, _ENTITY, -1)
-    found = F.transform(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0)), _resolved)
-    return F.array_join(F.zip_with(plain, found, lambda p, e: F.concat(p, F.coalesce(e, F.lit("")))), "")
+    return _replaced(text, _ENTITY, _resolved)
 
 
 def split_lines(text: Column) -> Column:
