@@ -28,12 +28,18 @@ def session(name: str = "palimpsest", master: str | None = None, **more: str) ->
     return builder.getOrCreate()
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage, in the folder that ``spark.checkpoint.dir`` names.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """Where checkpoints go: what ``spark.checkpoint.dir`` names, which all executors share.
 
-    A session without that setting (a test) gets a temporary folder.
+    Only a session without that setting (a test) gets a temporary folder.
     """
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-"))
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage, in the folder of checkpoints."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
