@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_folder, keep  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``, by any path that Spark's readers open."""
@@ -18,17 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
 
     A session without one (a test) gets a temporary folder.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="palimpsest-"))
-    return named or context._jsc.sc().getCheckpointDir().get()
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage, into the folder all executors share."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return spark.conf.get("spark.checkpoint.dir", None) or checkpoint_folder(spark)
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -41,7 +31,3 @@ HELD_OUT = 2
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return fold(doc_id) == HELD_OUT
-
-
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
