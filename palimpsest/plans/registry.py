@@ -6,7 +6,7 @@ from . import files, findings, markets, models, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "report_versions"
+FLAGSHIP = "section_changes"
 for module in (findings, texts, markets, models, files):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

@@ -19,7 +19,7 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
     "ingest_runs": ("run_id string, started_at timestamp, finished_at timestamp, params string, requests bigint, retries bigint, bytes bigint, status string", ("run_id",)),
     "xbrl_facts": ("fact_id string, cik bigint, taxonomy string, concept string, unit string, value double, period_start date, period_end date, accession string, fy int, fp string, form string, filed date", ("fact_id",)),
     "report_tickers": ("accession string, cik bigint, ticker string, source string, candidates array<string>", ("accession",)),
-    "tiingo_tickers": ("ticker string, exchange string, asset_type string, currency string, start_date date, end_date date", ()),
+    "symbol_catalogue": ("ticker string, exchange string, asset_type string, currency string, start_date date, end_date date", ()),
     "daily_prices": ("symbol string, day date, adj_close double, close double, volume double", ()),
     "sections": ("accession string, parser_version int, n_lines int, n_chars int, section string, status string, start_line int, end_line int, text string", ("accession", "section")),
     "section_changes": ("cik bigint, section string, accession string, fiscal_period_end date, accepted_at timestamp, prior_accession string, prior_period_end date, words bigint, prior_words bigint, sim_cosine double, sim_jaccard double, sim_tfidf double, sim_tfidf_pit double", ("accession", "section")),
