@@ -466,6 +466,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeated = judged.unionByName(whole)
     runs = source.mapInArrow(_cut(length, gram, False), kinds).select("id", "key", "start", "h1", "h2", "windows")
     found = runs.join(repeated, ["h1", "h2", "windows"]).select("id", "key", F.struct((F.col("start") + F.col("first")).alias("at"), "size").alias("run"))
-    by_doc = found.groupBy("id", "key").agg(F.collect_list("run").alias("__runs"))
+    by_doc = found.groupBy("id", "key").agg(F.collect_set("run").alias("__runs"))  # a set, as repeated rows bring the same runs
     out = rows.join(by_doc, ["id", "key"], "left").select("doc_id", "__raw", "__runs")
     return out.mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
