@@ -16,14 +16,18 @@ from palimpsest.llm.common import shared_folder, table
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """All columns as one, so that no result can replace one, and the text."""
-    return docs.select(F.struct(*docs.columns).alias("row"), "text")
+    """The other columns as one, so that no result can replace one, and the text."""
+    return docs.select(F.struct(*(c for c in docs.columns if c != "text"), F.lit(0).alias("__")).alias("__row"), "text")
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(c if c == "text" else f"__row.{c}").alias(c) for c in docs.columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on these documents' labels, does not reject."""
     model = rule_ensemble.train(docs, table(spark, sf_dir, "labels"))
-    return rule_ensemble.score(_packed(docs), model).where("predicted = 1").select("row.*")
+    return _unpacked(rule_ensemble.score(_packed(docs), model).where("predicted = 1"), docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +43,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold windows of fewer than two benchmark items."""
     found = decontaminate.find_windows(_packed(docs), table(spark, sf_dir, "benchmark"))
-    return found.where("size(items) < 2").select("row.*")
+    return _unpacked(found.where("size(items) < 2"), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

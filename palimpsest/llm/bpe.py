@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes whose distinct pre-tokens share one queue.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 4_000_000
 #: Token ids decoded at once.
 DECODED = 1 << 18
 _EMPTY = np.iinfo(np.int64).max
@@ -324,6 +324,7 @@ class Tokenizer:
                     flat, starts = encode_texts(raws.slice(a, b - a).to_pylist(), _vocabulary(shared, name), pattern)
                     made = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))
                     yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in names), made], names=[*names, ids])
+                pa.default_memory_pool().release_unused()
 
         return rows.mapInArrow(run, schema)
 
@@ -343,5 +344,6 @@ class Tokenizer:
                     ends = starts[np.concatenate(([0], np.cumsum(sizes[a:b]))).astype(np.int64)].tolist()
                     made = [None if empty else raw[ends[k] : ends[k + 1]] for k, empty in enumerate(lists.is_null().to_pylist())]
                     yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in names), pa.array(made, pa.binary())], names=[*names, out])
+                pa.default_memory_pool().release_unused()
 
         return rows.mapInArrow(run, schema)

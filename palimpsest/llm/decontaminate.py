@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 8
+#: Rows judged at once.
+ROWS = 1000
 #: An automaton holds windows of at most so many bytes; a larger benchmark is scanned in several.
 BLOCK_BYTES = 2_000_000
 
@@ -109,19 +111,19 @@ def find_windows(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
     total = made.agg(F.sum(F.length("window"))).first()[0] or 0
     blocks = -(-total * 3 // (2 * BLOCK_BYTES)) if total > BLOCK_BYTES else 1
     names = [c for c in docs.columns if c not in ("words", "hits", "spans", "items")]
-    out = docs.select(*names, F.lit(0).cast("long").alias("words"), F.array().cast("array<struct<first:bigint,last:bigint>>").alias("hits"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"), F.col(text).cast("binary").alias("__raw"))
+    out = docs.select(*names, F.lit(0).cast("long").alias("words"), F.array().cast("array<struct<first:bigint,last:bigint>>").alias("hits"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     schema = out.schema
     for block in range(blocks):
         part = made if blocks == 1 else made.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
         shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
-        out = out.mapInArrow(_scanner(shared), schema)
-    return out.drop("__raw")
+        out = out.mapInArrow(_scanner(shared, text), schema)
+    return out
 
 
 _HELD: dict = {}
 
 
-def _scanner(shared):
+def _scanner(shared, text: str):
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,27 +131,32 @@ def _scanner(shared):
             _HELD.clear()
             _HELD[name] = _automaton([(i, bytes(w)) for i, w in shared.value])
         automaton = _HELD[name]
-        for batch in batches:
-            n, hits, spans, items = [], [], [], []
-            raws = batch.column("__raw")
-            for k, (had, named) in enumerate(zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True)):
-                raw = raws[k].as_py() or b""
-                count, flags, found = scan(raw, automaton)
-                if had:
-                    flags = np.zeros(count, bool) if flags is None else flags
-                    for run in had:
-                        flags[run["first"] : run["last"]] = True
-                n.append(count)
-                items.append(sorted({*named, *found}))
-                if flags is None:
-                    hits.append([])
-                    spans.append([])
-                    continue
-                first, last = _ranges(flags)
-                places = [m.span() for m in _WORD.finditer(raw.translate(_TABLE).decode("utf-8", "surrogateescape"))]
-                hits.append([{"first": int(a), "last": int(b)} for a, b in zip(first, last, strict=True)])
-                spans.append([{"start": places[a][0], "end": places[b - 1][1]} for a, b in zip(first, last, strict=True)])
-            new = {"words": n, "hits": hits, "spans": spans, "items": items}
-            yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else batch.column(f.name) for f in batch.schema], schema=batch.schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                yield judged(whole.slice(at, ROWS), automaton)
+            pa.default_memory_pool().release_unused()
+
+    def judged(batch: pa.RecordBatch, automaton: ahocorasick.Automaton | None) -> pa.RecordBatch:
+        n, hits, spans, items = [], [], [], []
+        raws = batch.column(text).cast(pa.binary())
+        for k, (had, named) in enumerate(zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True)):
+            raw = raws[k].as_py() or b""
+            count, flags, found = scan(raw, automaton)
+            if had:
+                flags = np.zeros(count, bool) if flags is None else flags
+                for run in had:
+                    flags[run["first"] : run["last"]] = True
+            n.append(count)
+            items.append(sorted({*named, *found}))
+            if flags is None:
+                hits.append([])
+                spans.append([])
+                continue
+            first, last = _ranges(flags)
+            places = [m.span() for m in _WORD.finditer(raw.translate(_TABLE).decode("utf-8", "surrogateescape"))]
+            hits.append([{"first": int(a), "last": int(b)} for a, b in zip(first, last, strict=True)])
+            spans.append([{"start": places[a][0], "end": places[b - 1][1]} for a, b in zip(first, last, strict=True)])
+        new = {"words": n, "hits": hits, "spans": spans, "items": items}
+        return pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else batch.column(f.name) for f in batch.schema], schema=batch.schema)
 
     return run
