@@ -1,14 +1,18 @@
 """LM scoring by cross-entropy difference of a target and a background bigram model.
 
-Both models share one vocabulary (words of at least one in 2^RARE tokens of the corpus, at
-most 2^RARE of them; others are one unknown word), one order and one smoothing, and together
-count every document. A document's score is the mean over its words of the loss under the
-target minus the loss under the background: lower is closer to the target.
-
-Counts are aggregated from per-block counts of all texts. Bigrams of at least one in
-2^FREQUENT tokens, at most 2^FREQUENT of them, go to the executors, where documents sum
-their losses directly; occurrences of all others join the distributed model. So no join key
-is frequent, and no table without a bound is broadcast.
+Both models share one vocabulary (every word of the corpus, and one that is unknown), one
+order and one smoothing, and together count every document. A document's score is the mean
+over its words of the loss under the target minus the loss under the background: lower is
+closer to the target.
+
+A word's loss is the logarithm of the previous word's count (its context) less that of the
+bigram's smoothed count. Words of at least one in 2^RARE tokens, at most 2^RARE of them, and
+the bigrams frequent in blocks, at most 2^FREQUENT, are caches on executors by which
+documents sum what these give. All other occurrences meet once, in one shuffle: by their
+word if it is not cached, so that its counts come from its own occurrences, else by their
+bigram. So no key is frequent, and no table without a bound is broadcast.
+
+Words are told apart by 64-bit hashes, bigrams by 63 bits.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep
@@ -31,6 +35,8 @@ BROADCAST_IDS = 1_000_000
 BLOCK = 4_000_000
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _BASE = 0x9E3779B97F4A7C15
+#: What precedes the first word of a text, beside the hashes of words.
+BEGIN = -(1 << 63)
 
 
 @cache
@@ -79,73 +85,123 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
         yield start, len(texts), held
 
 
+def _counts(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where each distinct key first stands in the order of ``keys``, and the sums of each of ``weights`` over it."""
+    order = np.argsort(keys)
+    held = keys[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(held)), bool), held[1:] != held[:-1])))
+    sums = [np.add.reduceat(w[order], first) if len(first) else w[:0] for w in weights]
+    return order[first], *sums
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each word stands in the target and background, and how often a word follows it there; BEGIN only precedes."""
     for batch in batches:
-        for _, _, raws in _blocks(batch.column("raw")):
-            words, n = np.unique(word_hashes(raws)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], names=["word", "n"])
+        marks = batch.column("is_target").to_numpy(zero_copy_only=False).astype(np.int64)
+        for a, b, raws in _blocks(batch.column("raw")):
+            words, counts = word_hashes(raws)
+            own = np.repeat(marks[a:b], counts)
+            ahead = np.ones(len(words), np.int64)
+            ahead[(np.cumsum(counts) - 1)[counts > 0]] = 0
+            at, *sums = _counts(words, own, 1 - own, own * ahead, (1 - own) * ahead)
+            texts = counts > 0
+            begin = (BEGIN, 0, 0, int(marks[a:b][texts].sum()), int((1 - marks[a:b])[texts].sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(x, np.int64(y))) for x, y in zip((words[at], *sums), begin, strict=True)], names=["word", "ut", "ub", "ct", "cb"])
+
+
+def bigrams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word of all texts in order the bigram's code (not negative), previous word and word, and their number in each text."""
+    words, counts = word_hashes(raws)
+    before = np.concatenate((np.array([BEGIN]), words))[:-1]
+    before[(np.cumsum(counts) - counts)[counts > 0]] = BEGIN
+    h = (before.view(np.uint64) ^ np.uint64(_BASE)) * np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    h = (h + words.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return (h >> np.uint64(1)).view(np.int64), before, words, counts
+
+
+def _frequent_bigrams(frequent: int):
+    """Counts of bigrams in the blocks in which they are at least one in 2^frequent.
+
+    What a bigram lacks elsewhere is below one in 2^frequent of the corpus.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, raws in _blocks(batch.column("raw")):
+                found, _, words, _ = bigrams(raws)
+                first, n = _counts(found, np.ones(len(found), np.int64))
+                often = n * (1 << frequent) >= len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(x[often]) for x in (found[first], words[first], n)], names=["code", "word", "n"])
 
-class Codes:
-    """Bigrams of texts as longs: previous word times the number of words, plus the word."""
+    return run
 
-    def __init__(self, vocabulary: np.ndarray):
-        self.words = np.sort(vocabulary)
-        self.unknown, self.begin = len(vocabulary), len(vocabulary) + 1
-        self.base = len(vocabulary) + 2
 
-    def of(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of all texts in order, one for each word, and their number in each text."""
-        hashes, counts = word_hashes(raws)
-        at = np.searchsorted(self.words, hashes)
-        if len(self.words):
-            at = np.where(self.words[np.minimum(at, len(self.words) - 1)] == hashes, at, self.unknown)
-        before = np.concatenate(([self.begin], at))[:-1]
-        first = (np.cumsum(counts) - counts)[counts > 0]
-        before[first] = self.begin
-        return before.astype(np.int64) * self.base + at, counts
+def _at(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a sorted table, and which are there."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
 
 
-def _count_bigrams(shared):
+def _count_frequent(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes(shared.value)
+        frequent = shared.value
+        sums = np.zeros((2, len(frequent)), np.int64)
         for batch in batches:
             marks = batch.column("is_target").to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b, raws in _blocks(batch.column("raw")):
-                found, counts = codes.of(raws)
-                both, n = np.unique(found * 2 + np.repeat(marks[a:b], counts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(both >> 1), pa.array(n * (both & 1)), pa.array(n * (1 - (both & 1)))], names=["code", "target", "background"])
+                found, _, _, counts = bigrams(raws)
+                at, hit = _at(frequent, found)
+                own = np.repeat(marks[a:b], counts)
+                for k in (0, 1):
+                    sums[k] += np.bincount(at[hit & (own != k)], minlength=len(frequent))
+        yield pa.RecordBatch.from_arrays([pa.array(frequent), pa.array(sums[0]), pa.array(sums[1])], names=["code", "target", "background"])
 
     return run
 
 
 def _lookup(shared):
-    """Per document its frequent bigrams' losses (code below zero), and its other bigrams with their numbers."""
+    """Per document what its cached words and bigrams give (``at`` is -2), and its other bigrams.
+
+    Of these ``place`` is where they meet, ``at`` the place of the word in the cache or -1,
+    ``n`` their number and ``ahead`` how many of them are followed by a word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, frequent, target, background = shared.value
-        codes = Codes(vocabulary)
+        cached, contexts, frequent, gains = shared.value
         for batch in batches:
             ids, keys = batch.column("id"), batch.column("key").to_numpy(zero_copy_only=False)
+            marks = batch.column("is_target").to_numpy(zero_copy_only=False)
             for a, b, raws in _blocks(batch.column("raw")):
-                found, counts = codes.of(raws)
+                found, before, words, counts = bigrams(raws)
                 own = np.repeat(np.arange(b - a), counts)
-                at = np.minimum(np.searchsorted(frequent, found), max(0, len(frequent) - 1))
-                hit = frequent[at] == found if len(frequent) else np.zeros(len(found), bool)
-                sums = [np.bincount(own[hit], x[at[hit]] if len(x) else None, b - a) for x in (target, background)]
+                ahead = np.ones(len(words), np.int64)
+                ahead[(np.cumsum(counts) - 1)[counts > 0]] = 0
+                context, known = _at(cached, before)
+                word, is_cached = _at(cached, words)
+                at, hit = _at(frequent, found)
+                hit &= is_cached
+                sums = [np.bincount(own[known], c[context[known]], b - a) - np.bincount(own[hit], g[at[hit]], b - a) for c, g in zip(contexts, gains, strict=True)]
                 rest = np.flatnonzero(~hit)
                 order = rest[np.lexsort((found[rest], own[rest]))]
                 new = np.ones(len(order), bool)
                 new[1:] = (found[order[1:]] != found[order[:-1]]) | (own[order[1:]] != own[order[:-1]])
                 first = np.flatnonzero(new)
                 times = np.diff(np.append(first, len(order)))
-                doc = np.concatenate((np.arange(b - a), own[order[first]]))
+                followed = np.add.reduceat(ahead[order], first) if len(first) else times
+                order = order[first]
+                docs, doc = -1 - np.arange(b - a), np.concatenate((np.arange(b - a), own[order]))
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(a, b - a).take(pa.array(doc)), pa.array(keys[a:b][doc]),
-                    pa.array(np.concatenate((-1 - np.arange(b - a), found[order[first]]))),
-                    pa.array(np.concatenate((counts, times))),
-                    pa.array(np.concatenate((sums[0], np.zeros(len(first))))), pa.array(np.concatenate((sums[1], np.zeros(len(first))))),
-                ], names=["id", "key", "code", "n", "target_loss", "background_loss"])
+                    ids.slice(a, b - a).take(pa.array(doc)), pa.array(keys[a:b][doc]), pa.array(marks[a:b][doc]),
+                    pa.array(np.concatenate((docs, np.where(is_cached[order], found[order], words[order])))),
+                    pa.array(np.concatenate((docs, found[order]))),
+                    pa.array(np.concatenate((np.full(b - a, -2), np.where(is_cached[order], word[order], -1)))),
+                    pa.array(np.concatenate((counts, times))), pa.array(np.concatenate((np.zeros(b - a, np.int64), followed))),
+                    *(pa.array(np.concatenate((x, np.zeros(len(order))))) for x in sums),
+                ], names=["id", "key", "is_target", "place", "code", "at", "n", "ahead", "t", "b"])
 
     return run
 
@@ -171,46 +227,43 @@ def score(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text:
     spark = docs.sparkSession
     key = F.xxhash64(F.col(text), F.col(doc_id))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), key.alias("key"), F.col(text).cast("binary").alias("raw"))
-    counted = keep(rows.select("raw").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    words = counted.where(F.col("n") * (1 << rare) >= total).select("word").collect()  # at most 2^rare
-    vocabulary = np.array([r[0] for r in words], np.int64)
-    size = len(vocabulary) + 2
-    marked = mark(rows, target_ids, "id")
-    model = marked.select("raw", "is_target").mapInArrow(_count_bigrams(spark.sparkContext.broadcast(vocabulary)), "code long, target long, background long")
-    model = keep(model.groupBy("code").agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
-    ends = model.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.floor(F.col("code") / size).cast("long").alias("word"), "target", "background"), F.struct(F.lit(1).alias("side"), (F.col("code") % size).alias("word"), "target", "background"))).alias("e"))
-    ends = ends.groupBy("e.side", "e.word").agg(F.sum("e.target"), F.sum("e.background")).collect()  # at most twice the vocabulary
-    contexts, unigrams = np.zeros((2, size)), np.zeros((2, size))
-    for side, word, *n in ends:
-        (contexts if side == 0 else unigrams)[:, word] = n
-    shares = (unigrams[:, :-1] + 1) / (unigrams.sum(axis=1, keepdims=True) + size - 1)
-
-    def loss(code: np.ndarray, n: np.ndarray, which: int) -> np.ndarray:
-        before, word = code // size, code % size
-        return -np.log((n + prior * shares[which][word]) / (contexts[which][before] + prior))
-
-    often = model.where((F.col("target") + F.col("background")) * (1 << frequent) >= total).collect()  # at most 2^frequent
-    often = np.array(sorted(tuple(r) for r in often), np.int64).reshape(-1, 3)
-    sent = (vocabulary, np.ascontiguousarray(often[:, 0]), *(loss(often[:, 0], often[:, 1 + k], k) for k in (0, 1)))
-    found = rows.mapInArrow(_lookup(spark.sparkContext.broadcast(sent)), "id long, key long, code long, n long, target_loss double, background_loss double")
-    tables = spark.sparkContext.broadcast((shares, contexts, size, prior))
-
-    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shares, contexts, size, prior = tables.value
-        for batch in batches:
-            code = batch.column(0).to_numpy(zero_copy_only=False)
-            out = [-np.log((batch.column(1 + k).to_numpy(zero_copy_only=False) + prior * shares[k][code % size]) / (contexts[k][code // size] + prior)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0]), pa.array(out[1])], names=["code", "t", "b"])
-
-    seldom = model.where((F.col("target") + F.col("background")) * (1 << frequent) < total).mapInArrow(losses, "code long, t double, b double")
-    each = found.join(seldom, "code", "left")
-    is_doc = F.col("code") < 0
+    marked = mark(rows, target_ids, "id").select("id", "key", "raw", "is_target")
+    words = marked.select("raw", "is_target").mapInArrow(_count_words, "word long, ut long, ub long, ct long, cb long")
+    words = keep(words.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("ut", "ub", "ct", "cb"))))
+    sizes = words.agg(F.sum("ut"), F.sum("ub"), F.count_if(F.col("ut") + F.col("ub") > 0)).first()
+    tokens, vocabulary = (sizes[0] or 0, sizes[1] or 0), sizes[2] + 1
+    total = sum(tokens)
+    cached = words.where(((F.col("ut") + F.col("ub")) * (1 << rare) >= total) | (F.col("word") == BEGIN)).collect()  # at most 2^rare, and BEGIN
+    cached = np.array(sorted(tuple(r) for r in cached), np.int64).reshape(-1, 5)
+    often = marked.select("raw").mapInArrow(_frequent_bigrams(frequent), "code long, word long, n long")
+    often = often.groupBy("code").agg(F.min("word").alias("word"), F.sum("n").alias("n")).where(F.col("n") * (1 << frequent) >= total)
+    often = np.array(sorted((r.code, r.word) for r in often.collect()), np.int64).reshape(-1, 2)  # at most 2^frequent
+    word, is_cached = _at(cached[:, 0], often[:, 1])
+    often, word = np.ascontiguousarray(often[is_cached, 0]), word[is_cached]
+    counted = marked.select("raw", "is_target").mapInArrow(_count_frequent(spark.sparkContext.broadcast(often)), "code long, target long, background long")
+    counted = np.array(sorted(tuple(r) for r in counted.groupBy("code").agg(F.sum("target"), F.sum("background")).collect()), np.int64).reshape(-1, 3)
+    contexts = [np.log(cached[:, 3 + k] + prior) for k in (0, 1)]
+    gains = [np.log(counted[:, 1 + k] + prior * (cached[word, 1 + k] + 1) / (tokens[k] + vocabulary)) for k in (0, 1)] if len(counted) else [np.zeros(0)] * 2
+    sent = spark.sparkContext.broadcast((np.ascontiguousarray(cached[:, 0]), contexts, often if len(counted) else often[:0], gains))
+    found = marked.mapInArrow(_lookup(sent), "id long, key long, is_target boolean, place long, code long, at long, n long, ahead long, t double, b double").repartition("place")
+    sides = {"t": F.col("is_target"), "b": ~F.col("is_target")}
+    both, alone = Window.partitionBy("place", "code"), Window.partitionBy("place")
+    each = found.select("*", *(F.sum(F.when(side, F.col("n")).otherwise(0)).over(both).alias(f"n{k}") for k, side in sides.items()))
+    each = each.select("*", *(F.sum(F.when(side, F.col(n)).otherwise(0)).over(alone).alias(f"{c}{k}") for k, side in sides.items() for c, n in (("u", "n"), ("c", "ahead"))))
+    near = spark.createDataFrame([(k, *r[1:3]) for k, r in enumerate(cached.tolist())], "at long, cached_t long, cached_b long")
+    each = each.join(F.broadcast(near), "at", "left")
+
+    def losses(side: str, all_words: int) -> Column:
+        share = (F.coalesce(f"cached_{side}", f"u{side}") + 1) / float(all_words + vocabulary)
+        context = F.when(F.col("at") == -1, F.col("ahead") * F.log(F.col(f"c{side}") + prior)).otherwise(0.0)
+        return F.when(F.col("at") == -2, F.col(side)).otherwise(context - F.col("n") * F.log(F.col(f"n{side}") + prior * share))
+
+    each = each.select("id", "key", (F.col("at") == -2).alias("is_doc"), "n", losses("t", tokens[0]).alias("t"), losses("b", tokens[1]).alias("b"))
     summed = each.groupBy("id", "key").agg(
-        F.count_if(is_doc).alias("copies"),
-        F.sum(F.when(is_doc, F.col("n")).otherwise(0)).alias("n"),
-        F.sum(F.when(is_doc, F.col("target_loss")).otherwise(F.col("n") * F.col("t"))).alias("t"),
-        F.sum(F.when(is_doc, F.col("background_loss")).otherwise(F.col("n") * F.col("b"))).alias("b"),
+        F.count_if("is_doc").alias("copies"),
+        F.sum(F.when(F.col("is_doc"), F.col("n")).otherwise(0)).alias("n"),
+        F.sum("t").alias("t"),
+        F.sum("b").alias("b"),
     )
     per_word = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n")).otherwise(0.0)
     out = summed.select(

@@ -47,3 +47,23 @@ def test_odd_rows(spark, odd, none):
     ids = spark.createDataFrame([(5,)], "doc_id long")
     assert ce.score(odd, ids).count() == odd.count()
     assert ce.score(none, ids).count() == 0
+
+
+def test_every_word_is_in_the_vocabulary(spark):
+    """Also words far below one in 2^RARE tokens: texts that differ only in these differ in score."""
+    rows = [(1, "the of " * (2 << ce.RARE)), (2, "the red fox"), (3, "the red hen"), (4, "the red fox"), (5, "a fox")]
+    docs, ids = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(4,)], "doc_id long")
+    words = Counter(w for _, t in rows for w in t.split())
+    models = {k: Counter(p for i, t in rows if (i == 4) == k for p in zip(["<s>", *t.split()], t.split(), strict=False)) for k in (True, False)}
+
+    def loss(m, a, b):
+        uni, ctx = (sum(n for p, n in m.items() if p[k] == x) for k, x in ((1, b), (0, a)))
+        return -math.log((m[a, b] + ce.PRIOR * (uni + 1) / (sum(m.values()) + len(words) + 1)) / (ctx + ce.PRIOR))
+
+    for rare, frequent in ((ce.RARE, ce.FREQUENT), (ce.RARE, 1), (0, 0)):  # with 0, no word is cached
+        got = {r.doc_id: r for r in ce.score(docs, ids, rare=rare, frequent=frequent).collect()}
+        for i, t in rows:
+            pairs = list(zip(["<s>", *t.split()], t.split(), strict=False))
+            want = [sum(n * loss(models[k], *p) for p, n in Counter(pairs).items()) / len(pairs) for k in (True, False)]
+            assert abs(got[i].target_loss - want[0]) < 1e-9 and abs(got[i].background_loss - want[1]) < 1e-9
+        assert got[2].score < got[3].score
