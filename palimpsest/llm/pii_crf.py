@@ -39,7 +39,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 _SIGN = re.compile(r"[0-9@]")
 _SPELLED = re.compile(r"[\[({]at[\])}]|\bdot\b", re.IGNORECASE)
-_GATE = re.compile(r"[0-9@]|^[\[({]?(?:at[\])}]|dot[\])}]?)[.,;:]?$", re.IGNORECASE)
+_GATE = re.compile(r"[0-9@]|[\[({]at[\])}]|\bdot\b|^at[\])}]", re.IGNORECASE)
 _WORD = re.compile(r"\S+")
 _TRIM = ".,;:!?\"'<>[]{}*$%&#|="
 
@@ -257,7 +257,7 @@ def sequences(text: str) -> list[list[tuple[int, int]]]:
     out: list[list[tuple[int, int]]] = []
     last = -1
     for k, (a, b) in enumerate(places):
-        if not _GATE.search(text, a, b) if b - a > 12 else not _GATE.search(text[a:b]):
+        if not _GATE.search(text[a:b]):
             continue
         low, high = max(0, k - CONTEXT), min(len(places), k + CONTEXT + 1)
         if out and low <= last:

@@ -71,6 +71,29 @@ def test_the_field_adds_disguised_spans(model):
     assert not any(b3.values()) and not any(a3.values())
 
 
+@pytest.mark.parametrize("address", [
+    "john.smith [at] example dot org", "john.smith (at) example.org", "john.smith[at]example[dot]org", "john.smith @ example.org",
+    "john.smith (at) example (dot) org", "john.smith{at}example.org", "john.smith(AT)example(DOT)org",
+])
+def test_disguised_addresses_reach_the_field_without_digits_nearby(address):
+    text = f"please write a letter to our good friend {address} and wait there for some kind answer"
+    assert any(a <= text.index(address) and b >= text.index(address) + len(address) for s in pii.sequences(text) for a, b in [(s[0][0], s[-1][1])])
+
+
+def test_every_labelled_form_is_found_without_digits_nearby(model):
+    syllables = ["an", "er", "ti", "la", "que", "ment"]
+    draw, missed = random.Random(3), {}
+    for form in ("{}@{}.{}", "{} [at] {} dot {}", "{} (at) {}.{}", "{}[at]{}[dot]{}", "{} @ {}.{}", "{} (at) {} (dot) {}"):
+        missed[form] = 0
+        for _ in range(50):
+            name = lambda: "".join(draw.choices(syllables, k=2))
+            address = form.format(f"{name()}.{name()}", name(), draw.choice(["com", "org", "net"]))
+            text = f"quement laan titi {address} erla anque tila lament"
+            (base, added), = pii.find([text], model)
+            missed[form] += address not in [text[a:b] for a, b in base["email"] + added["email"]]
+    assert max(missed.values()) <= 5, missed
+
+
 def test_query_and_odd_rows(spark, odd, none, model):
     out = queries.op4_pii_crf(spark, "/root/testdata/sf0.001")
     assert [t for _, t in out.dtypes] == ["bigint"] * 5 + ["string"] * 2
