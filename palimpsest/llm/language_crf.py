@@ -16,13 +16,15 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import HELD_OUT, fold
 
-#: Documents the field is fitted on at most (those of the least hashes of their ids), of at most so many characters each.
-SAMPLE_DOCS, SAMPLE_CHARS = 2000, 6_000
+#: Documents the field is fitted on, shared out evenly between languages (those of the least hashes), but LEAST_DOCS of each.
+SAMPLE_DOCS, LEAST_DOCS = 2000, 20
+#: Characters of a text that are read; of a longer text PIECES spread over the whole of it.
+SAMPLE_CHARS, PIECES = 6_000, 12
 #: Words of a sequence; a longer text is several sequences.
 SEQUENCE = 64
 TABLE_BITS = 16
@@ -181,12 +183,44 @@ def fit(texts: list[str], languages: list[str], rounds: int = 3, seed: int = 0)
     return Model(names, weights, transitions)
 
 
+def _spread(text: str) -> Column:
+    """A text of at most SAMPLE_CHARS characters, or whole words of PIECES at even distances from its start to its end."""
+    size = SAMPLE_CHARS // PIECES
+    length = F.length(text)
+    parts = []
+    for k in range(PIECES):
+        part = F.substring(F.col(text), F.floor((length - size) * k / (PIECES - 1)).cast("int") + 1, F.lit(size))
+        whole = F.regexp_replace(part, r"^\S*\s+|\s+\S*$", "")
+        parts.append(F.when(F.trim(whole) == "", part).otherwise(whole))
+    return F.when(length <= SAMPLE_CHARS, F.col(text)).otherwise(F.concat_ws(" ", *parts))
+
+
+def _shares(counts: dict[str, int]) -> dict[str, int]:
+    """How many documents of each language are taken: what rare ones leave of an even share goes to the others."""
+    out, left = {}, SAMPLE_DOCS
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(LEAST_DOCS, left // (len(counts) - k)))
+        left = max(0, left - out[lang])
+    return out
+
+
 def train(docs: DataFrame) -> Model:
-    """Fit on documents that are not held out and have a language, at most SAMPLE_DOCS of at most SAMPLE_CHARS characters."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).where(fold() != HELD_OUT)
-    known = known.select("text", "lang", F.xxhash64("doc_id").alias("h"))
-    last = known.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]  # so that only the sample's texts travel
-    rows = sorted((r.h, r.text, r.lang) for r in known.where(F.col("h") <= F.lit(last).cast("long")).limit(2 * SAMPLE_DOCS).collect())
+    """Fit on documents that are not held out and have a language, a bounded sample of each language.
+
+    Documents of any length are eligible. The sample is cut to pieces on executors.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(fold() != HELD_OUT)
+    known = known.select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
+    counted = {r.lang: (r.n, r.least) for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()}
+    if not counted:
+        return fit([], [])
+    shares = _shares({lang: n for lang, (n, _) in counted.items()})
+    # a hash below which about twice the share is, so that only these are ranked
+    bounds = [(lang, shares[lang], max(least, min((1 << 63) - 1, ((2 * shares[lang] + 50) << 64) // n - (1 << 63)))) for lang, (n, least) in counted.items()]
+    bounds = docs.sparkSession.createDataFrame(bounds, "lang string, share long, bound long")
+    near = known.join(F.broadcast(bounds), "lang").where("h <= bound").select(_spread("text").alias("text"), "lang", "h", "share")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where((F.col("rank") <= max(shares.values())) & (F.col("rank") <= F.col("share")))
+    rows = sorted((r.h, r.text, r.lang) for r in ranked.select("h", "text", "lang").collect())
     return fit([r[1] for r in rows], [r[2] for r in rows])
 
 

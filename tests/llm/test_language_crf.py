@@ -54,3 +54,26 @@ def test_odd_rows(odd, none):
     assert {i for i, x in rows if x == "und"} == {1, 2, 3, None} and crf.identify(odd, model).count() == odd.count()
     assert crf.identify(none, model).count() == 0
     assert {r.lang_pred for r in crf.identify(odd, crf.train(odd)).collect()} == {"und"}  # no language is known
+
+
+def test_long_and_rare_languages_are_learned(spark):
+    en, de, fr = "the cat and the dog were here ", "der Hund und die Katze waren hier ", "le chien et le chat sont ici "
+    rows = [(i, en, "en") for i in range(3 * crf.SAMPLE_DOCS)] + [(10_000 + i, de * 400, "de") for i in range(8)] + [(20_000 + i, fr * 50, "fr") for i in range(4)]
+    model = crf.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en", "fr"]
+    found = crf.identify(spark.createDataFrame([(1, en), (2, de), (3, fr)], "doc_id long, text string"), model)
+    assert {r.doc_id: r.lang_pred for r in found.collect()} == {1: "en", 2: "de", 3: "fr"}
+    only_long = crf.train(spark.createDataFrame(rows[-12:-4], "doc_id long, text string, lang string"))
+    assert only_long.languages == ["de"]
+
+
+def test_long_texts_are_read_from_start_to_end(spark):
+    text = " ".join(f"w{i}" for i in range(20_000))
+    words = [int(w[1:]) for w in spark.createDataFrame([(text,)], "text string").select(crf._spread("text")).first()[0].split()]
+    assert words == sorted(set(words)) and words[0] < 5 and words[-1] > 19_990 and max(b - a for a, b in zip(words, words[1:])) < 2_500
+
+
+def test_shares_fill_the_sample():
+    shares = crf._shares({"a": 10**9, "b": 10**6, "c": 3})
+    assert shares["c"] == 3 and sum(shares.values()) == crf.SAMPLE_DOCS and abs(shares["a"] - shares["b"]) <= 1
+    assert set(crf._shares({str(i): 100 for i in range(500)}).values()) == {crf.LEAST_DOCS}
