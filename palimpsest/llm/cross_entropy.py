@@ -5,34 +5,42 @@ order and one smoothing, and together count every document. A document's score i
 over its words of the loss under the target minus the loss under the background: lower is
 closer to the target.
 
-A word's loss is the logarithm of the previous word's count (its context) less that of the
-bigram's smoothed count. Words of at least one in 2^RARE tokens, at most 2^RARE of them, and
-the bigrams frequent in blocks, at most 2^FREQUENT, are caches on executors by which
-documents sum what these give. All other occurrences meet once, in one shuffle: by their
-word if it is not cached, so that its counts come from its own occurrences, else by their
-bigram. So no key is frequent, and no table without a bound is broadcast.
-
-Words are told apart by 64-bit hashes, bigrams by 63 bits.
+A model of every word has about as many bigrams as the corpus has words, so neither the model
+nor the documents' bigrams can be sent row by row. Instead
+
+1. documents are dealt to blocks of about BLOCK bytes by a hash of their ids, which bring the
+   target ids to the same blocks; their texts are shuffled this once;
+2. a block names each of its distinct words and bigrams once, with its own counts: sorted
+   codes, cut into buckets by their leading bits, as packed differences of a few bytes;
+3. a bucket adds up what all blocks name, and answers each block with the totals in the order
+   in which it asked, again a few bytes each;
+4. the block takes its answers, in the order of its sorted codes, and scores its documents.
+
+So a frequent word or bigram is one entry per block however often it occurs, nothing is
+broadcast, and blocks and buckets grow in number and not in size with the corpus.
+
+Words and bigrams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
-
-RARE, FREQUENT = 14, 17
 #: Weight of the word model in each bigram distribution, in counts.
 PRIOR = 10.0
-#: Target ids are broadcast up to so many; more are joined.
-BROADCAST_IDS = 1_000_000
-BLOCK = 4_000_000
+#: Bytes of text in a block, and codes in a bucket, about.
+BLOCK, BUCKET = 8_000_000, 1 << 21
+#: Rows of one id are dealt to so many blocks.
+SALTS = 8
+#: Bytes hashed at once.
+HASHED = 1_000_000
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _BASE = 0x9E3779B97F4A7C15
 #: What precedes the first word of a text, beside the hashes of words.
@@ -60,7 +68,7 @@ def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inside = b != 32
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     starts, ends = edges[::2], edges[1::2]
-    powers, inverse = _powers(1 << max(22, len(b).bit_length()))
+    powers, inverse = _powers(1 << max(20, len(b).bit_length()))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * powers[: len(b)])))
     h = (sums[ends] - sums[starts]) * inverse[starts]
     h ^= h >> np.uint64(32)
@@ -70,13 +78,13 @@ def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h.view(np.int64), np.diff(np.searchsorted(starts, bounds))
 
 
-def _blocks(texts: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Slices of rows of about BLOCK bytes, or of one row."""
+def _slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Slices of rows of about HASHED bytes, or of one row."""
     start, held = 0, []
     size = 0
     for k in range(len(texts)):
         raw = texts[k].as_py() or b""
-        if held and size + len(raw) > BLOCK:
+        if held and size + len(raw) > HASHED:
             yield start, k, held
             start, held, size = k, [], 0
         held.append(raw)
@@ -85,196 +93,236 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
         yield start, len(texts), held
 
 
-def _counts(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Where each distinct key first stands in the order of ``keys``, and the sums of each of ``weights`` over it."""
-    order = np.argsort(keys)
-    held = keys[order]
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(held)), bool), held[1:] != held[:-1])))
-    sums = [np.add.reduceat(w[order], first) if len(first) else w[:0] for w in weights]
-    return order[first], *sums
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each word stands in the target and background, and how often a word follows it there; BEGIN only precedes."""
-    for batch in batches:
-        marks = batch.column("is_target").to_numpy(zero_copy_only=False).astype(np.int64)
-        for a, b, raws in _blocks(batch.column("raw")):
-            words, counts = word_hashes(raws)
-            own = np.repeat(marks[a:b], counts)
-            ahead = np.ones(len(words), np.int64)
-            ahead[(np.cumsum(counts) - 1)[counts > 0]] = 0
-            at, *sums = _counts(words, own, 1 - own, own * ahead, (1 - own) * ahead)
-            texts = counts > 0
-            begin = (BEGIN, 0, 0, int(marks[a:b][texts].sum()), int((1 - marks[a:b])[texts].sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(x, np.int64(y))) for x, y in zip((words[at], *sums), begin, strict=True)], names=["word", "ut", "ub", "ct", "cb"])
-
-
-def bigrams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word of all texts in order the bigram's code (not negative), previous word and word, and their number in each text."""
-    words, counts = word_hashes(raws)
+def bigram_codes(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word of all texts in order the word before it (BEGIN for the first) and the bigram's code."""
     before = np.concatenate((np.array([BEGIN]), words))[:-1]
     before[(np.cumsum(counts) - counts)[counts > 0]] = BEGIN
     h = (before.view(np.uint64) ^ np.uint64(_BASE)) * np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(31)
     h = (h + words.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
-    return (h >> np.uint64(1)).view(np.int64), before, words, counts
+    return before, h
 
 
-def _frequent_bigrams(frequent: int):
-    """Counts of bigrams in the blocks in which they are at least one in 2^frequent.
+def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each slice (kind 0), tokens by id (1), or without one (2), and bytes (3)."""
+    for batch in batches:
+        ids = batch.column("id")
+        for a, b, raws in _slices(batch.column("raw")):
+            words, counts = word_hashes(raws)
+            words, own = np.unique(words), ids.slice(a, b - a)
+            known = own.is_valid().to_numpy(zero_copy_only=False)
+            rest = np.array([[2, 0, counts[~known].sum()], [3, 0, sum(map(len, raws))]])
+            kinds = np.concatenate((np.zeros(len(words)), np.ones(known.sum()), rest[:, 0]))
+            values = np.concatenate((words, own.drop_null().to_numpy(), rest[:, 1]))
+            n = np.concatenate((np.zeros(len(words)), counts[known], rest[:, 2]))
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (kinds, values, n)], names=["kind", "value", "n"])
 
-    What a bigram lacks elsewhere is below one in 2^frequent of the corpus.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, raws in _blocks(batch.column("raw")):
-                found, _, words, _ = bigrams(raws)
-                first, n = _counts(found, np.ones(len(found), np.int64))
-                often = n * (1 << frequent) >= len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(x[often]) for x in (found[first], words[first], n)], names=["code", "word", "n"])
+class Sizes(NamedTuple):
+    """Of the corpus: words of the vocabulary with the unknown one, tokens of the target and of the rest, bytes."""
+
+    vocabulary: int
+    target: int
+    background: int
+    bytes: int
+
+
+def sizes(rows: DataFrame, ids: DataFrame) -> Sizes:
+    """``rows``: id, raw; ``ids``: id. One shuffle of distinct words and of ids."""
+    marked = ids.select(F.lit(1).cast("long").alias("kind"), F.col("id").alias("value"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("marked"))
+    all_ = rows.mapInArrow(_summary, "kind long, value long, n long").withColumn("marked", F.lit(False)).unionByName(marked)
+    each = all_.groupBy("kind", "value").agg(F.sum("n").alias("n"), F.max("marked").alias("marked"))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    found = each.agg(F.count_if(F.col("kind") == 0), total((F.col("kind") == 1) & F.col("marked")), total(F.col("kind").isin(1, 2)), total(F.col("kind") == 3)).first()
+    return Sizes(found[0] + 1, found[1], found[2] - found[1], found[3])
+
+
+def pack_codes(codes: np.ndarray, base: int) -> bytes:
+    """Sorted codes from ``base`` on as differences, byte by byte of all of them: those bytes that any of them needs."""
+    steps = np.diff(codes, prepend=np.uint64(base))
+    width = max(1, -(-int(steps.max()).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unpack_codes(raw: bytes, base: int) -> np.ndarray:
+    parts = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    steps = np.zeros((parts.shape[1], 8), np.uint8)
+    steps[:, : raw[0]] = parts.T
+    steps = steps.view("<u8")[:, 0]
+    steps[0] += np.uint64(base)
+    return np.cumsum(steps, dtype=np.uint64)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts as a byte each, those from 255 on as 255 and in full at the end."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
 
-    return run
 
+def unpack_counts(raw: bytes, rows: int, n: int) -> np.ndarray:
+    """``rows`` rows of ``n`` counts."""
+    out = np.frombuffer(raw, np.uint8, rows * n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<i8", offset=rows * n)
+    return out.reshape(rows, n)
 
-def _at(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of keys in a sorted table, and which are there."""
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
-
-
-def _count_frequent(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
-        sums = np.zeros((2, len(frequent)), np.int64)
-        for batch in batches:
-            marks = batch.column("is_target").to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b, raws in _blocks(batch.column("raw")):
-                found, _, _, counts = bigrams(raws)
-                at, hit = _at(frequent, found)
-                own = np.repeat(marks[a:b], counts)
-                for k in (0, 1):
-                    sums[k] += np.bincount(at[hit & (own != k)], minlength=len(frequent))
-        yield pa.RecordBatch.from_arrays([pa.array(frequent), pa.array(sums[0]), pa.array(sums[1])], names=["code", "target", "background"])
+
+class Block(NamedTuple):
+    """Tokens of a block's documents. ``words`` and ``pairs`` are its sorted codes, the others places in these."""
+
+    tokens: np.ndarray  # by document
+    words: np.ndarray
+    pairs: np.ndarray
+    word: np.ndarray  # of each token
+    context: np.ndarray
+    pair: np.ndarray
+
+
+def block_of(raws: pa.ChunkedArray) -> Block:
+    parts = [word_hashes(raws_) for _, _, raws_ in _slices(raws)]
+    words, tokens = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    before, pairs = bigram_codes(words, tokens) if len(words) else (words, words.view(np.uint64))
+    pairs, pair = np.unique(pairs, return_inverse=True)
+    codes, places = np.unique(np.concatenate((words, before)).view(np.uint64), return_inverse=True)
+    return Block(tokens, codes, pairs, places[: len(words)], places[len(words) :], pair)
+
+
+class Buckets(NamedTuple):
+    """Numbers of buckets of words (the first ones) and of bigrams."""
+
+    words: int
+    pairs: int
+
+    def base(self, bucket: int) -> int:
+        """The least code that can be in a bucket."""
+        bucket, n = (bucket, self.words) if bucket < self.words else (bucket - self.words, self.pairs)
+        return -(-(bucket << 32) // n) << 32
+
+    def rows(self, bucket: int) -> int:
+        """Counts by code: of words as such and as contexts, in the target and the rest; of bigrams in both."""
+        return 4 if bucket < self.words else 2
+
+    def cut(self, codes: np.ndarray, pairs: bool) -> Iterator[tuple[int, slice]]:
+        """Buckets of sorted codes that have any."""
+        n = self.pairs if pairs else self.words
+        at = (codes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+        bounds = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)] if len(at) else []
+        for a, b in zip(bounds, bounds[1:]):
+            yield int(at[a]) + pairs * self.words, slice(a, b)
+
+
+def _marks(ids: pa.ChunkedArray, targets: pa.ChunkedArray) -> np.ndarray:
+    own = ids.fill_null(0).to_numpy()
+    return np.isin(own, targets.drop_null().to_numpy()) & ids.is_valid().to_numpy()
+
+
+_ASKED = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary())])
+
+
+def _ask(buckets: Buckets):
+    """A block's distinct words and bigrams with its own counts."""
+
+    def run(docs: pa.Table, targets: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return _ASKED.empty_table()
+        block = block_of(docs.column("raw"))
+        own = np.repeat(_marks(docs.column("id"), targets.column("id")), block.tokens)
+        number = docs.column("block")[0].as_py()
+        count = lambda places, of, n: np.bincount(places[of], minlength=n)
+        words = np.stack([count(p, o, len(block.words)) for p in (block.word, block.context) for o in (own, ~own)])
+        pairs = np.stack([count(block.pair, o, len(block.pairs)) for o in (own, ~own)])
+        out = []
+        for codes, counts, is_pair in ((block.words, words, False), (block.pairs, pairs, True)):
+            for bucket, at in buckets.cut(codes, is_pair):
+                out.append((number, bucket, pack_codes(codes[at], buckets.base(bucket)), pack_counts(counts[:, at].ravel())))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ASKED, strict=True)], schema=_ASKED) if out else _ASKED.empty_table()
 
     return run
 
 
-def _lookup(shared):
-    """Per document what its cached words and bigrams give (``at`` is -2), and its other bigrams.
+_ANSWERED = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary())])
 
-    Of these ``place`` is where they meet, ``at`` the place of the word in the cache or -1,
-    ``n`` their number and ``ahead`` how many of them are followed by a word.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cached, contexts, frequent, gains = shared.value
-        for batch in batches:
-            ids, keys = batch.column("id"), batch.column("key").to_numpy(zero_copy_only=False)
-            marks = batch.column("is_target").to_numpy(zero_copy_only=False)
-            for a, b, raws in _blocks(batch.column("raw")):
-                found, before, words, counts = bigrams(raws)
-                own = np.repeat(np.arange(b - a), counts)
-                ahead = np.ones(len(words), np.int64)
-                ahead[(np.cumsum(counts) - 1)[counts > 0]] = 0
-                context, known = _at(cached, before)
-                word, is_cached = _at(cached, words)
-                at, hit = _at(frequent, found)
-                hit &= is_cached
-                sums = [np.bincount(own[known], c[context[known]], b - a) - np.bincount(own[hit], g[at[hit]], b - a) for c, g in zip(contexts, gains, strict=True)]
-                rest = np.flatnonzero(~hit)
-                order = rest[np.lexsort((found[rest], own[rest]))]
-                new = np.ones(len(order), bool)
-                new[1:] = (found[order[1:]] != found[order[:-1]]) | (own[order[1:]] != own[order[:-1]])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(order)))
-                followed = np.add.reduceat(ahead[order], first) if len(first) else times
-                order = order[first]
-                docs, doc = -1 - np.arange(b - a), np.concatenate((np.arange(b - a), own[order]))
-                yield pa.RecordBatch.from_arrays([
-                    ids.slice(a, b - a).take(pa.array(doc)), pa.array(keys[a:b][doc]), pa.array(marks[a:b][doc]),
-                    pa.array(np.concatenate((docs, np.where(is_cached[order], found[order], words[order])))),
-                    pa.array(np.concatenate((docs, found[order]))),
-                    pa.array(np.concatenate((np.full(b - a, -2), np.where(is_cached[order], word[order], -1)))),
-                    pa.array(np.concatenate((counts, times))), pa.array(np.concatenate((np.zeros(b - a, np.int64), followed))),
-                    *(pa.array(np.concatenate((x, np.zeros(len(order))))) for x in sums),
-                ], names=["id", "key", "is_target", "place", "code", "at", "n", "ahead", "t", "b"])
+def _answer(buckets: Buckets):
+    """A bucket's totals, to each block in the order of its codes."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        bucket = asked.column("bucket")[0].as_py()
+        base, rows = buckets.base(bucket), buckets.rows(bucket)
+        codes = [unpack_codes(c.as_py(), base) for c in asked.column("codes")]
+        counts = np.concatenate([unpack_counts(c.as_py(), rows, len(own)) for c, own in zip(asked.column("counts"), codes, strict=True)], axis=1)
+        bounds = np.cumsum([0] + [len(c) for c in codes])
+        codes = np.concatenate(codes)
+        order = np.argsort(codes, kind="stable")
+        codes = codes[order]
+        new = np.concatenate(([True], codes[1:] != codes[:-1]))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        totals = np.add.reduceat(counts[:, order], np.flatnonzero(new), axis=1)
+        out = [pack_counts(totals[:, place[a:b]].ravel()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        return pa.Table.from_arrays([asked.column("block"), asked.column("bucket"), pa.array(out, pa.binary())], schema=_ANSWERED)
 
     return run
 
 
-def mark(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with ``is_target``: whether its id is in ``ids`` (one column ``doc_id``; nulls are in no set)."""
-    ids = ids.select(F.col("doc_id").alias("__target")).where("__target is not null").distinct()
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    joined = docs.join(F.broadcast(ids) if small else ids, docs[doc_id] == ids["__target"], "left")
-    return joined.withColumn("is_target", F.col("__target").isNotNull()).drop("__target")
+_SCORED = pa.schema([("doc_id", pa.int64()), ("is_target", pa.bool_()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64())])
+
+
+def _losses(buckets: Buckets, of: Sizes, prior: float):
+    """Score a block's documents by the answers it got."""
+
+    def run(docs: pa.Table, got: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return _SCORED.empty_table()
+        block = block_of(docs.column("raw"))
+        answers = dict(zip(got.column("bucket").to_pylist(), got.column("counts").to_pylist(), strict=True))
+        filled = []
+        for codes, is_pair in ((block.words, False), (block.pairs, True)):
+            totals = np.zeros((2 if is_pair else 4, len(codes)))
+            for bucket, at in buckets.cut(codes, is_pair):
+                totals[:, at] = unpack_counts(answers[bucket], len(totals), at.stop - at.start)
+            filled.append(totals)
+        words, pairs = filled
+        first = np.zeros(len(block.pairs), np.int64)
+        first[block.pair] = np.arange(len(block.pair))  # a token of each bigram
+        owner = np.repeat(np.arange(docs.num_rows), block.tokens)
+        means = []
+        for k, tokens in enumerate((of.target, of.background)):
+            share = (words[k] + 1) / (tokens + of.vocabulary)
+            loss = np.log(words[2 + k][block.context[first]] + prior) - np.log(pairs[k] + prior * share[block.word[first]])
+            means.append(np.bincount(owner, loss[block.pair], docs.num_rows) / np.maximum(1, block.tokens))
+        is_target = _marks(docs.column("id"), got.column("id"))
+        return pa.Table.from_arrays([docs.column("id"), *(pa.array(x) for x in (is_target, block.tokens, *means))], schema=_SCORED)
+
+    return run
 
 
-def score(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: int = RARE, frequent: int = FREQUENT, prior: float = PRIOR) -> DataFrame:
+def score(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", prior: float = PRIOR, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
     """``doc_id, is_target, n_tokens, target_loss, background_loss, score`` of each row.
 
-    The target model counts the documents whose ids are in ``target_ids``, the background
-    model all others. Losses are mean negative log-likelihoods (natural logarithm) of the
-    words given the previous one; ``score`` is target minus background loss. Texts without
-    words, null ones too, have losses and score zero. Repeated rows are scored each. An
-    empty table gives an empty result; with no target (or nothing else) that model is
-    uniform over the vocabulary.
+    The target model counts the documents whose ids are in ``target_ids`` (one column
+    ``doc_id``; nulls are in no set), the background model all others. Losses are mean
+    negative log-likelihoods (natural logarithm) of the words given the previous one;
+    ``score`` is target minus background loss. Texts without words, null ones too, have
+    losses and score zero. Repeated rows are counted and scored each. An empty table gives an
+    empty result; with no target (or nothing else) that model is uniform over the vocabulary.
     """
-    spark = docs.sparkSession
-    key = F.xxhash64(F.col(text), F.col(doc_id))
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), key.alias("key"), F.col(text).cast("binary").alias("raw"))
-    marked = mark(rows, target_ids, "id").select("id", "key", "raw", "is_target")
-    words = marked.select("raw", "is_target").mapInArrow(_count_words, "word long, ut long, ub long, ct long, cb long")
-    words = keep(words.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("ut", "ub", "ct", "cb"))))
-    sizes = words.agg(F.sum("ut"), F.sum("ub"), F.count_if(F.col("ut") + F.col("ub") > 0)).first()
-    tokens, vocabulary = (sizes[0] or 0, sizes[1] or 0), sizes[2] + 1
-    total = sum(tokens)
-    cached = words.where(((F.col("ut") + F.col("ub")) * (1 << rare) >= total) | (F.col("word") == BEGIN)).collect()  # at most 2^rare, and BEGIN
-    cached = np.array(sorted(tuple(r) for r in cached), np.int64).reshape(-1, 5)
-    often = marked.select("raw").mapInArrow(_frequent_bigrams(frequent), "code long, word long, n long")
-    often = often.groupBy("code").agg(F.min("word").alias("word"), F.sum("n").alias("n")).where(F.col("n") * (1 << frequent) >= total)
-    often = np.array(sorted((r.code, r.word) for r in often.collect()), np.int64).reshape(-1, 2)  # at most 2^frequent
-    word, is_cached = _at(cached[:, 0], often[:, 1])
-    often, word = np.ascontiguousarray(often[is_cached, 0]), word[is_cached]
-    counted = marked.select("raw", "is_target").mapInArrow(_count_frequent(spark.sparkContext.broadcast(often)), "code long, target long, background long")
-    counted = np.array(sorted(tuple(r) for r in counted.groupBy("code").agg(F.sum("target"), F.sum("background")).collect()), np.int64).reshape(-1, 3)
-    contexts = [np.log(cached[:, 3 + k] + prior) for k in (0, 1)]
-    gains = [np.log(counted[:, 1 + k] + prior * (cached[word, 1 + k] + 1) / (tokens[k] + vocabulary)) for k in (0, 1)] if len(counted) else [np.zeros(0)] * 2
-    sent = spark.sparkContext.broadcast((np.ascontiguousarray(cached[:, 0]), contexts, often if len(counted) else often[:0], gains))
-    found = marked.mapInArrow(_lookup(sent), "id long, key long, is_target boolean, place long, code long, at long, n long, ahead long, t double, b double").repartition("place")
-    sides = {"t": F.col("is_target"), "b": ~F.col("is_target")}
-    both, alone = Window.partitionBy("place", "code"), Window.partitionBy("place")
-    each = found.select("*", *(F.sum(F.when(side, F.col("n")).otherwise(0)).over(both).alias(f"n{k}") for k, side in sides.items()))
-    each = each.select("*", *(F.sum(F.when(side, F.col(n)).otherwise(0)).over(alone).alias(f"{c}{k}") for k, side in sides.items() for c, n in (("u", "n"), ("c", "ahead"))))
-    near = spark.createDataFrame([(k, *r[1:3]) for k, r in enumerate(cached.tolist())], "at long, cached_t long, cached_b long")
-    each = each.join(F.broadcast(near), "at", "left")
-
-    def losses(side: str, all_words: int) -> Column:
-        share = (F.coalesce(f"cached_{side}", f"u{side}") + 1) / float(all_words + vocabulary)
-        context = F.when(F.col("at") == -1, F.col("ahead") * F.log(F.col(f"c{side}") + prior)).otherwise(0.0)
-        return F.when(F.col("at") == -2, F.col(side)).otherwise(context - F.col("n") * F.log(F.col(f"n{side}") + prior * share))
-
-    each = each.select("id", "key", (F.col("at") == -2).alias("is_doc"), "n", losses("t", tokens[0]).alias("t"), losses("b", tokens[1]).alias("b"))
-    summed = each.groupBy("id", "key").agg(
-        F.count_if("is_doc").alias("copies"),
-        F.sum(F.when(F.col("is_doc"), F.col("n")).otherwise(0)).alias("n"),
-        F.sum("t").alias("t"),
-        F.sum("b").alias("b"),
-    )
-    per_word = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n")).otherwise(0.0)
-    out = summed.select(
-        F.col("id").alias("doc_id"),
-        (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"),
-        per_word("t").alias("target_loss"),
-        per_word("b").alias("background_loss"),
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
-    )
-    out = out.withColumn("score", F.col("target_loss") - F.col("background_loss")).drop("copy")
-    return mark(out, target_ids).select("doc_id", "is_target", "n_tokens", "target_loss", "background_loss", "score")
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("raw"))
+    ids = target_ids.select(F.col("doc_id").cast("long").alias("id")).where("id is not null")
+    of = sizes(rows, ids)
+    blocks = F.lit(max(1, -(-of.bytes // block)))
+    buckets = Buckets(max(1, 4 * of.vocabulary // bucket), max(1, (of.target + of.background) // bucket))
+    # Repeated rows stand in several partitions of the input or are one partition's.
+    salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
+    place = F.when(F.col("id").isNull(), F.xxhash64("raw", F.spark_partition_id())).otherwise(F.xxhash64("id", salt))
+    dealt = rows.select(F.pmod(place, blocks).alias("block"), "id", "raw")
+    to = ids.select("id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    to = to.select(F.pmod(F.xxhash64("id", "salt"), blocks).alias("block"), "id")
+    asked = dealt.groupBy("block").cogroup(to.groupBy("block")).applyInArrow(_ask(buckets), "block long, bucket long, codes binary, counts binary")
+    answered = asked.groupBy("bucket").applyInArrow(_answer(buckets), "block long, bucket long, counts binary")
+    got = answered.select("block", "bucket", "counts", F.lit(None).cast("long").alias("id"))
+    got = got.unionByName(to.select("block", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("counts"), "id"))
+    scored = dealt.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(_losses(buckets, of, prior), "doc_id long, is_target boolean, n_tokens long, target_loss double, background_loss double")
+    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def targets(labels: DataFrame) -> DataFrame:

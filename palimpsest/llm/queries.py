@@ -172,13 +172,11 @@ ORACLE_SQL = {
                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
           FROM documents),
         tok AS (SELECT r, is_target, i, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
-        voc AS (SELECT word FROM tok GROUP BY word HAVING count(*) * 16384 >= (SELECT count(*) FROM tok)),
-        known AS (SELECT r, i, is_target, coalesce(voc.word, '<unk>') AS word FROM tok LEFT JOIN voc USING (word)),
-        seq AS (SELECT r, is_target, word, coalesce(lag(word) OVER (PARTITION BY r ORDER BY i), '<s>') AS prev FROM known),
+        seq AS (SELECT r, is_target, word, coalesce(lag(word) OVER (PARTITION BY r ORDER BY i), '<s>') AS prev FROM tok),
         big AS (SELECT prev, word, count(*) FILTER (is_target) AS t, count(*) FILTER (NOT is_target) AS b FROM seq GROUP BY ALL),
         uni AS (SELECT word, sum(t) AS ut, sum(b) AS ub FROM big GROUP BY word),
         ctx AS (SELECT prev, sum(t) AS ct, sum(b) AS cb FROM big GROUP BY prev),
-        size AS (SELECT (SELECT count(*) FROM voc) + 1 AS v, (SELECT sum(ut) FROM uni) AS nt, (SELECT sum(ub) FROM uni) AS nb),
+        size AS (SELECT (SELECT count(*) FROM uni) + 1 AS v, (SELECT sum(ut) FROM uni) AS nt, (SELECT sum(ub) FROM uni) AS nb),
         loss AS (
           SELECT prev, word, -ln((t + 10.0 * (ut + 1) / (nt + v)) / (ct + 10)) AS lt, -ln((b + 10.0 * (ub + 1) / (nb + v)) / (cb + 10)) AS lb
           FROM big JOIN uni USING (word) JOIN ctx USING (prev), size),
