@@ -26,7 +26,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,24 @@
 """Suffix-array dedup: remove every byte that lies in a repeated string of LENGTH bytes.
 
-A string of LENGTH bytes is a window. Windows that are equal pick the same anchor: the
+Strings of SHORT bytes that repeat are found with them and reported, not removed: a passage
+of some fifty words is shorter than LENGTH.
+
+A string of SHORT bytes is a window. Windows that are equal pick the same anchor: the
 GRAM-byte substring with the least hash, at the same offset. Windows of a document that
-share an anchor form a run; its bytes are a segment, and only segments with equal anchors
-can hold equal windows. So
+share an anchor form a run; its segment is its bytes and what follows, up to LENGTH bytes
+from the last window's start or the document's end. Only segments with equal anchors can hold
+equal strings of either size. So
 
 1. each document is cut into runs (prefix polynomial hashes give all substring hashes);
 2. equal segments are counted together, and distinct segments meet by anchor. A segment
    that occurs twice is repeated as a whole, one alone with its anchor is not;
-3. the windows of the other segments are suffixes that are sorted, those with the same
-   anchor and offset together: a mergesort compares two suffixes by binary search for their
-   common extension over prefix hashes, up to LENGTH bytes. Neighbours with a full common
-   extension are equal windows, once their bytes are compared too;
-4. anchors with more than GROUP distinct segments are split: their windows meet by two
-   hashes of the whole window;
-5. the repeated windows go back to all documents that hold the segment, and are cut out.
+3. the windows of the other segments are starts of suffixes that are sorted, those with the
+   same anchor and offset together: a mergesort compares two suffixes by binary search for
+   their common extension over prefix hashes, up to LENGTH bytes. Neighbours whose common
+   extension is SHORT or LENGTH bytes are equal strings, once their bytes are compared too;
+4. anchors with more than GROUP distinct segments are split: their strings meet by two
+   hashes of the whole string;
+5. the repeated strings go back to all documents that hold the segment, and are cut out.
 
 Whole segments are told apart by a polynomial hash and an independent 64-bit hash together.
 """
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LENGTH = 400
+from .common import keep
+
+LENGTH, SHORT = 400, 280
 GRAM = 128
 #: An anchor's distinct segments are sorted together up to this number.
 GROUP = 4096
@@ -80,82 +87,102 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - have : width - have + n])
 
 
-def _runs(data: bytes, bounds: list[tuple[int, int]], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with the same anchor inside the texts at ``bounds``: start, number of
-    windows, anchor's offset, anchor's hash, and two hashes of the segment."""
+class Sizes(NamedTuple):
+    """Bytes of a removed string, of a window, and of an anchor."""
+
+    length: int
+    short: int
+    gram: int
+
+    @property
+    def both(self) -> tuple[int, ...]:
+        return tuple(dict.fromkeys((self.short, self.length)))
+
+
+class Part(NamedTuple):
+    """A text, or a part of a long one, in a block: its bytes there, the windows that are its own, its text, and its offset in that."""
+
+    start: int
+    end: int
+    windows: int
+    owner: int
+    offset: int
+
+
+def _runs(data: bytes, parts: list[Part], of: Sizes) -> tuple[np.ndarray, ...]:
+    """Runs of windows with the same anchor inside the parts: part, start in the block, number of windows,
+    of those that a whole string of ``length`` follows, anchor's offset, anchor's hash, and two hashes of the segment."""
     view = np.frombuffer(data, np.uint8)
-    windows = len(view) - length + 1
+    windows = len(view) - of.short + 1
     if windows < 1:
-        return (np.zeros(0, np.int64),) * 6
+        return (np.zeros(0, np.int64),) * 8
     sums = _prefix(view)
     inverse = _powers(1 << max(20, len(view).bit_length()))[1]
-    grams = sums[gram:] - sums[:-gram]
+    grams = sums[of.gram :] - sums[: -of.gram]
     grams *= inverse[: len(grams)]
     grams = _mix(grams)
-    at = (_least((grams & ~_MASK) | np.arange(len(grams), dtype=np.uint64), length - gram + 1) & _MASK).astype(np.int64)
+    at = (_least((grams & ~_MASK) | np.arange(len(grams), dtype=np.uint64), of.short - of.gram + 1) & _MASK).astype(np.int64)
     valid = np.zeros(windows, bool)
-    for a, b in bounds:
-        valid[a : max(a, b - length + 1)] = True
     cut = np.ones(windows + 1, bool)
-    cut[1:-1] = (at[1:] != at[:-1]) | (valid[1:] != valid[:-1])
+    cut[1:-1] = at[1:] != at[:-1]
+    for p in parts:
+        valid[p.start : p.start + p.windows] = True
+        cut[p.start] = cut[p.start + p.windows] = True
     starts = np.flatnonzero(cut[:-1] & valid)
     counts = np.flatnonzero(cut[1:] & valid) + 1 - starts
-    ends = starts + counts + length - 1
-    first = _mix((sums[ends] - sums[starts]) * inverse[starts])
+    own = np.searchsorted([p.start for p in parts], starts, side="right") - 1
+    limit = np.array([p.end for p in parts])[own]
+    ends = np.minimum(starts + counts + of.length - 1, limit)
+    whole = np.clip(limit - starts - of.length + 1, 0, counts)
+    # The number of windows is hashed too: a segment at a text's end may be all of another's bytes.
+    first = _mix((sums[ends] - sums[starts]) * inverse[starts] + counts.astype(np.uint64) * _M2)
     digest = xxhash.xxh3_64_digest
     second = np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]), np.int64)
-    return starts, counts, at[starts] - starts, grams[at[starts]].view(np.int64), first.view(np.int64), second
-
+    return own, starts, counts, whole, at[starts] - starts, grams[at[starts]].view(np.int64), first.view(np.int64), second
 
-def _blocks(raws: list[bytes], length: int) -> Iterator[tuple[bytes, list[tuple[int, int]], list[int], list[int]]]:
-    """Texts joined to blocks: bytes, bounds, the text of each bound, and its offset there.
 
-    A text longer than a block is cut into parts that overlap by a window less a byte.
-    """
-    parts, bounds, owners, offsets, held = [], [], [], [], 0
+def _blocks(raws: list[bytes], of: Sizes) -> Iterator[tuple[bytes, list[Part]]]:
+    """Texts joined to blocks; a text longer than a block is cut into parts that overlap by what their last windows need."""
+    held, parts, size = [], [], 0
     for k, raw in enumerate(raws):
-        for offset in range(0, max(1, len(raw) - length + 1), BLOCK):
-            part = raw[offset : offset + BLOCK + length - 1] if len(raw) > BLOCK else raw
-            if len(part) < length:
-                continue
-            if held and held + len(part) > 2 * BLOCK:
-                yield b"".join(parts), bounds, owners, offsets
-                parts, bounds, owners, offsets, held = [], [], [], [], 0
-            parts.append(part)
-            bounds.append((held, held + len(part)))
-            owners.append(k)
-            offsets.append(offset)
-            held += len(part)
-            if len(raw) <= BLOCK:
-                break
-    if parts:
-        yield b"".join(parts), bounds, owners, offsets
+        for offset in range(0, len(raw) - of.short + 1, BLOCK) if len(raw) > BLOCK else [0] * (len(raw) >= of.short):
+            data = raw[offset : offset + BLOCK + of.length - 1] if len(raw) > BLOCK else raw
+            if held and size + len(data) > 2 * BLOCK:
+                yield b"".join(held), parts
+                held, parts, size = [], [], 0
+            windows = len(data) - of.short + 1
+            parts.append(Part(size, size + len(data), min(windows, BLOCK) if len(raw) > BLOCK else windows, k, offset))
+            held.append(data)
+            size += len(data)
+    if held:
+        yield b"".join(held), parts
 
 
-_RUN = ["id", "key", "start", "windows", "anchor_at", "anchor", "h1", "h2"]
+_RUN = ["id", "key", "start", "windows", "whole", "anchor_at", "anchor", "h1", "h2"]
+_ANCHOR, _H1, _H2, _N = 6, 7, 8, 9
 
 
-def _cut(length: int, gram: int, count: bool):
+def _cut(of: Sizes, count: bool):
     """Runs of each row; with ``count``, equal segments of a batch as one row with their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             found: list[list[np.ndarray]] = [[] for _ in _RUN]
-            for data, bounds, owners, offsets in _blocks([r or b"" for r in batch.column(2).to_pylist()], length):
-                starts, *rest = _runs(data, bounds, length, gram)
-                own = np.searchsorted([a for a, _ in bounds], starts, side="right") - 1
-                row = np.array(owners)[own]
-                place = starts - np.array([a for a, _ in bounds])[own] + np.array(offsets)[own]
+            for data, parts in _blocks([r or b"" for r in batch.column(2).to_pylist()], of):
+                own, starts, *rest = _runs(data, parts, of)
+                row = np.array([p.owner for p in parts])[own]
+                place = starts - np.array([p.start - p.offset for p in parts])[own]
                 for out, values in zip(found, (ids[row], keys[row], place, *rest), strict=True):
                     out.append(values)
             if not found[0]:
                 continue
             columns = [np.concatenate(x) for x in found]
             if count:
-                order = np.lexsort((columns[7], columns[6]))
+                h1, h2 = columns[_H1], columns[_H2]
+                order = np.lexsort((h2, h1))
                 new = np.ones(len(order), bool)
-                new[1:] = (columns[6][order[1:]] != columns[6][order[:-1]]) | (columns[7][order[1:]] != columns[7][order[:-1]])
+                new[1:] = (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
                 first = np.flatnonzero(new)
                 columns = [c[order[first]] for c in columns] + [np.diff(np.append(first, len(order)))]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=[*_RUN, "n"][: len(columns)])
@@ -164,24 +191,24 @@ def _cut(length: int, gram: int, count: bool):
 
 
 def _meet(group: int):
-    """Of rows sorted by anchor and segment: distinct segments that are repeated as a whole
-    (``whole``) or must be compared (``hard`` 1, or 2 in a group that is too large)."""
+    """Of rows sorted by anchor and segment: distinct segments that occur more than once
+    (``repeated``) or must be compared (``hard`` 1, or 2 in a group that is too large)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, large = np.zeros((0, 9), np.int64), None
+        held, large = np.zeros((0, _N + 1), np.int64), None
 
         def emit(rows: np.ndarray) -> pa.RecordBatch:
             new = np.ones(len(rows), bool)
-            new[1:] = rows[1:, 5] != rows[:-1, 5]
+            new[1:] = rows[1:, _ANCHOR] != rows[:-1, _ANCHOR]
             first = np.flatnonzero(new)
             sizes = np.repeat(np.diff(np.append(first, len(rows))), np.diff(np.append(first, len(rows))))
             hard = np.where(sizes > group, 2, np.where(sizes > 1, 1, 0))
             if large is not None:
-                hard[rows[:, 5] == large] = 2
-            whole = rows[:, 8] > 1
-            take = whole | (hard > 0)
+                hard[rows[:, _ANCHOR] == large] = 2
+            twice = rows[:, _N] > 1
+            take = twice | (hard > 0)
             return pa.RecordBatch.from_arrays(
-                [*(pa.array(rows[take, k]) for k in range(8)), pa.array(whole[take]), pa.array(hard[take].astype(np.int64))], names=[*_RUN, "whole", "hard"]
+                [*(pa.array(rows[take, k]) for k in range(_N)), pa.array(twice[take]), pa.array(hard[take].astype(np.int64))], names=[*_RUN, "repeated", "hard"]
             )
 
         for batch in batches:
@@ -189,18 +216,18 @@ def _meet(group: int):
             if not len(rows):
                 continue
             new = np.ones(len(rows), bool)
-            new[1:] = (rows[1:, 5:8] != rows[:-1, 5:8]).any(axis=1)
+            new[1:] = (rows[1:, _ANCHOR:_N] != rows[:-1, _ANCHOR:_N]).any(axis=1)
             first = np.flatnonzero(new)
-            totals = np.add.reduceat(rows[:, 8], first)
+            totals = np.add.reduceat(rows[:, _N], first)
             rows = rows[first]
-            rows[:, 8] = totals
-            others = np.flatnonzero(rows[:, 5] != rows[-1, 5])
+            rows[:, _N] = totals
+            others = np.flatnonzero(rows[:, _ANCHOR] != rows[-1, _ANCHOR])
             last = int(others[-1]) + 1 if len(others) else 0  # of the last anchor, which may go on
             if last:
                 yield emit(rows[:last])
             held = rows[last:]
             if len(held) > group:
-                large = int(held[0, 5])
+                large = int(held[0, _ANCHOR])
                 yield emit(held[:-1])
                 held = held[-1:]
         if len(held):
@@ -209,10 +236,10 @@ def _meet(group: int):
     return run
 
 
-def common_extension(sums: np.ndarray, inverse: np.ndarray, x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
-    """Length of the common extension of the suffixes at ``x`` and ``y``, up to ``limit``."""
+def common_extension(sums: np.ndarray, inverse: np.ndarray, x: np.ndarray, y: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Lengths of the common extensions of the suffixes at ``x`` and ``y``, each up to its ``limit``."""
     sx, sy, ix, iy = sums[x], sums[y], inverse[x], inverse[y]
-    low, step = np.zeros(len(x), np.int64), 1 << (limit.bit_length() - 1)
+    low, step = np.zeros(len(x), np.int64), 1 << (int(limit.max(initial=1)).bit_length() - 1)
     while step:
         further = np.minimum(low + step, limit)
         same = (sums[x + further] - sx) * ix == (sums[y + further] - sy) * iy
@@ -221,8 +248,8 @@ def common_extension(sums: np.ndarray, inverse: np.ndarray, x: np.ndarray, y: np
     return low
 
 
-def sort_suffixes(data: np.ndarray, positions: np.ndarray, classes: np.ndarray, limit: int) -> np.ndarray:
-    """Order of ``positions`` by class (they come sorted by it) and then by their suffixes' first ``limit`` bytes.
+def sort_suffixes(data: np.ndarray, positions: np.ndarray, classes: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Order of ``positions`` by class (they come sorted by it) and then by their suffixes, each of ``limit`` bytes.
 
     A bottom-up mergesort of all classes at once: each element finds its place in the
     neighbouring run by binary search, all elements a step at a time.
@@ -251,12 +278,13 @@ def sort_suffixes(data: np.ndarray, positions: np.ndarray, classes: np.ndarray,
             middle = (low[open_] + high[open_]) >> 1
             a, b = mine[open_], order[begin[todo[open_]] + middle]
             before = np.where(right[open_], True, False)  # equal: counts as before only for right elements
-            differ = np.flatnonzero(whole[a] != whole[b])
+            differ = np.flatnonzero((whole[a] != whole[b]) | (limit[a] != limit[b]))
             if len(differ):
-                x, y = positions[a[differ]], positions[b[differ]]
-                far = common_extension(sums, inverse, x, y, limit)
-                inside = np.minimum(far, limit - 1)
-                before[differ] = data[y + inside] < data[x + inside]
+                x, y = a[differ], b[differ]
+                both = np.minimum(limit[x], limit[y])
+                far = common_extension(sums, inverse, positions[x], positions[y], both)
+                inside = np.minimum(far, both - 1)
+                before[differ] = np.where(far < both, data[positions[y] + inside] < data[positions[x] + inside], limit[y] < limit[x])
             low[open_] = np.where(before, middle + 1, low[open_])
             high[open_] = np.where(before, high[open_], middle)
         place = np.minimum(run, other) * width + rank[todo] - run * width + (low - start)
@@ -265,50 +293,60 @@ def sort_suffixes(data: np.ndarray, positions: np.ndarray, classes: np.ndarray,
     return order
 
 
-def repeated_windows(segments: list[bytes], groups: np.ndarray, anchors: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The segment and offset of each window that occurs in two segments of a group."""
+def _verified(raw: bytes, x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """Which of the strings of ``size`` bytes at ``x`` and ``y`` are equal; stretches that move together are compared once."""
+    x, y = np.minimum(x, y), np.maximum(x, y)
+    by = np.lexsort((x, y - x))
+    x, y = x[by], y[by]
+    cut = np.ones(len(x), bool)
+    cut[1:] = (x[1:] != x[:-1] + 1) | (y[1:] - x[1:] != y[:-1] - x[:-1])
+    first = np.flatnonzero(cut)
+    last = np.append(first[1:], len(x)) - 1
+    true = np.ones(len(x), bool)
+    for i, j, a, b, c in zip(first.tolist(), last.tolist(), x[first].tolist(), y[first].tolist(), (x[last] + size).tolist()):
+        if raw[a:c] != raw[b : b + c - a]:
+            for k in range(i, j + 1):
+                true[k] = raw[x[k] : x[k] + size] == raw[y[k] : y[k] + size]
+    out = np.empty(len(x), bool)
+    out[by] = true
+    return out
+
+
+def repeated_strings(segments: list[bytes], groups: np.ndarray, anchors: np.ndarray, counts: np.ndarray, sizes: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of ``sizes``, the first of them a window's, the segment and window of each string that occurs in two segments of a group."""
     raw = b"".join(segments)
     data = np.frombuffer(raw, np.uint8)
-    base = np.concatenate(([0], np.cumsum([len(s) for s in segments])))[:-1]
+    lengths = np.array([len(s) for s in segments], np.int64)
+    ends = np.cumsum(lengths)
     owner = np.repeat(np.arange(len(segments)), counts)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    classes = groups[owner] * (2 * length) + anchors[owner] - offset + length
+    classes = groups[owner] * (2 * max(sizes)) + anchors[owner] - offset + max(sizes)
     order = np.argsort(classes, kind="stable")
     classes = classes[order]
     twin = np.zeros(len(order), bool)
     twin[1:] = classes[1:] == classes[:-1]
     twin[:-1] |= twin[1:]
     order, classes = order[twin], classes[twin]  # others have no partner
-    positions = base[owner[order]] + offset[order]
-    ranked = sort_suffixes(data, positions, classes, length)
-    order, positions, classes = order[ranked], positions[ranked], classes[ranked]
+    positions = (ends - lengths)[owner[order]] + offset[order]
+    limit = np.minimum(max(sizes), ends[owner[order]] - positions)
+    ranked = sort_suffixes(data, positions, classes, limit)
+    order, positions, classes, limit = order[ranked], positions[ranked], classes[ranked], limit[ranked]
     sums, inverse = _prefix(data), _powers(1 << max(20, len(data).bit_length()))[1]
-    whole = (sums[positions + length] - sums[positions]) * inverse[positions]
-    pairs = np.flatnonzero((whole[1:] == whole[:-1]) & (classes[1:] == classes[:-1]))
-    if not len(pairs):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # Collision verification: stretches of pairs that move together are compared byte by byte, once.
-    x, y = np.minimum(positions[pairs], positions[pairs + 1]), np.maximum(positions[pairs], positions[pairs + 1])
-    by = np.lexsort((x, y - x))
-    pairs, x, y = pairs[by], x[by], y[by]
-    cut = np.ones(len(x), bool)
-    cut[1:] = (x[1:] != x[:-1] + 1) | (y[1:] - x[1:] != y[:-1] - x[:-1])
-    first = np.flatnonzero(cut)
-    last = np.append(first[1:], len(x)) - 1
-    true = np.ones(len(x), bool)
-    for i, j, a, b, c in zip(first.tolist(), last.tolist(), x[first].tolist(), y[first].tolist(), (x[last] + length).tolist()):
-        if raw[a:c] != raw[b : b + c - a]:
-            for k in range(i, j + 1):
-                true[k] = raw[x[k] : x[k] + length] == raw[y[k] : y[k] + length]
-    at = np.unique(np.concatenate((order[pairs[true]], order[pairs[true] + 1])))
-    return owner[at], offset[at]
+    far = common_extension(sums, inverse, positions[:-1], positions[1:], np.minimum(limit[:-1], limit[1:]))
+    out = []
+    for size in sizes:
+        pairs = np.flatnonzero((far >= size) & (classes[1:] == classes[:-1]))
+        pairs = pairs[_verified(raw, positions[pairs], positions[pairs + 1], size)] if len(pairs) else pairs  # collisions
+        at = np.unique(np.concatenate((order[pairs], order[pairs + 1])))
+        out.append((owner[at], offset[at]))
+    return out
 
 
-_FETCHED = "k1 long, k2 long, h1 long, h2 long, windows long, anchor_at long, bytes binary"
+_FETCHED = "k1 long, k2 long, h1 long, h2 long, windows long, anchor_at long, size long, bytes binary"
 
 
-def _fetch(length: int):
-    """Segments' bytes out of their documents; for segments of too large groups the windows' hashes."""
+def _fetch(of: Sizes):
+    """Segments' bytes out of their documents; for segments of too large groups the hashes of their strings of both sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,18 +355,19 @@ def _fetch(length: int):
                 raw = raw.as_py() or b""
                 for s in segments.as_py():
                     at, n = s["start"], s["windows"]
-                    data = raw[at : at + n + length - 1]
+                    data = raw[at : at + n + of.length - 1]
                     if s["hard"] == 1:
-                        out.append((s["anchor"], 0, s["h1"], s["h2"], n, s["anchor_at"], data))
+                        out.append((s["anchor"], 0, s["h1"], s["h2"], n, s["anchor_at"], 0, data))
                         held += len(data)
                         continue
                     view = np.frombuffer(data, np.uint8)
                     sums, inverse = _prefix(view), _powers(1 << 20)[1]
-                    hashes = _mix((sums[length:] - sums[:-length]) * inverse[:n]).view(np.int64).tolist()
-                    for k, h in enumerate(hashes):
-                        h2 = int.from_bytes(xxhash.xxh3_64_digest(data[k : k + length]), "little", signed=True) | 1
-                        out.append((h, h2, s["h1"], s["h2"], n, k, None))
-                    held += 50 * n
+                    for size, m in zip(of.both, (n, s["whole"])):
+                        hashes = _mix((sums[size : size + m] - sums[:m]) * inverse[:m]).view(np.int64).tolist()
+                        for k, h in enumerate(hashes):
+                            h2 = int.from_bytes(xxhash.xxh3_64_digest(data[k : k + size]), "little", signed=True) | 1
+                            out.append((h, h2, s["h1"], s["h2"], n, k, size, None))
+                    held += 120 * n
                 if held > SORT_BYTES:
                     yield _fetched(out)
                     out, held = [], 0
@@ -339,33 +378,36 @@ def _fetch(length: int):
 
 
 def _fetched(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64()] * 6 + [pa.binary()]
-    names = ["k1", "k2", "h1", "h2", "windows", "anchor_at", "bytes"]
+    types = [pa.int64()] * 7 + [pa.binary()]
+    names = ["k1", "k2", "h1", "h2", "windows", "anchor_at", "size", "bytes"]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
-def _judged(h1: np.ndarray, h2: np.ndarray, windows: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> pa.RecordBatch:
-    """Runs of repeated windows as rows; owner and offset come sorted."""
+_JUDGED = ["h1", "h2", "first", "count", "size"]
+
+
+def _judged(h1: np.ndarray, h2: np.ndarray, owner: np.ndarray, offset: np.ndarray, size: int) -> pa.RecordBatch:
+    """Runs of repeated strings of ``size`` bytes as rows; owner and offset come sorted."""
     cut = np.ones(len(owner), bool)
     cut[1:] = (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)
     first = np.flatnonzero(cut)
-    size = np.diff(np.append(first, len(owner)))
+    count = np.diff(np.append(first, len(owner)))
     own = owner[first]
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (h1[own], h2[own], windows[own], offset[first], size)], names=["h1", "h2", "windows", "first", "size"])
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (h1[own], h2[own], offset[first], count, np.full(len(own), size))], names=_JUDGED)
 
 
-def _sort(length: int):
+def _sort(of: Sizes):
     """Judge fetched rows, which come sorted by their two keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # rows of one anchor
-        seen: list | None = None  # the last window of a too large group
+        seen: list | None = None  # the last string of a too large group
 
         def segments(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Sort whole groups, about SORT_BYTES at once."""
             batch = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            bytes_ = np.cumsum(pa.compute.binary_length(batch.column(6)).to_numpy(zero_copy_only=False))
+            bytes_ = np.cumsum(pa.compute.binary_length(batch.column(7)).to_numpy(zero_copy_only=False))
             at = done = 0
             for end in [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]:
                 if bytes_[end - 1] - done < SORT_BYTES and end < len(keys):
@@ -373,22 +415,25 @@ def _sort(length: int):
                 part = batch.slice(at, end - at)
                 own, h1, h2, windows, anchors = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 4, 5))
                 groups = np.cumsum(np.concatenate(([0], own[1:] != own[:-1])))
-                yield _judged(h1, h2, windows, *repeated_windows(part.column(6).to_pylist(), groups, anchors, windows, length))
+                for size, found in zip(of.both, repeated_strings(part.column(7).to_pylist(), groups, anchors, windows, of.both), strict=True):
+                    yield _judged(h1, h2, *found, size)
                 at, done = end, int(bytes_[end - 1])
 
         for batch in batches:
-            loose = pa.compute.is_null(batch.column(6)).to_numpy(zero_copy_only=False)
+            loose = pa.compute.is_null(batch.column(7)).to_numpy(zero_copy_only=False)
             if loose.any():
                 rows = batch.filter(pa.array(loose))
-                columns = [rows.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+                columns = [rows.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
                 if seen is not None:
                     columns = [np.concatenate(([s], c)) for s, c in zip(seen, columns, strict=True)]
                 same = (columns[0][1:] == columns[0][:-1]) & (columns[1][1:] == columns[1][:-1])
                 twin = np.append(same, False)
                 twin[1:] |= same
                 if twin.any():
-                    own = np.flatnonzero(twin)
-                    yield _judged(*columns[2:5], own, columns[5][own])
+                    for size in of.both:
+                        own = np.flatnonzero(twin & (columns[6] == size))
+                        if len(own):
+                            yield _judged(*columns[2:4], own, columns[5][own], size)
                 seen = [c[-1] for c in columns]
                 batch = batch.filter(pa.array(~loose))
             if not batch.num_rows:
@@ -409,19 +454,24 @@ def _sort(length: int):
     return run
 
 
-def _remove(length: int):
+def _covered(runs: list[dict], size: int) -> list[list[int]]:
+    """The bytes of the runs of strings of one size, merged."""
+    merged: list[list[int]] = []
+    for a, b in sorted((r["at"], r["at"] + r["count"] + size - 1) for r in runs if r["size"] == size):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    return merged
+
+
+def _remove(of: Sizes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, removed, spans, kept = [], [], [], []
+            n, removed, spans, kept, repeated = [], [], [], [], []
             for raw, runs in zip(batch.column("__raw"), batch.column("__runs"), strict=True):
                 raw, runs = raw.as_py() or b"", runs.as_py() or []
-                merged: list[list[int]] = []
-                for a, b in sorted((r["at"], r["at"] + r["size"] + length - 1) for r in runs):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                at, parts = 0, []
+                merged, at, parts = _covered(runs, of.length), 0, []
                 for a, b in merged:
                     parts.append(raw[at:a])
                     at = b
@@ -429,9 +479,10 @@ def _remove(length: int):
                 removed.append(sum(b - a for a, b in merged))
                 spans.append([{"start": a, "end": b} for a, b in merged])
                 kept.append(b"".join([*parts, raw[at:]]) if merged else raw)
-            new = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())]
+                repeated.append(sum(b - a for a, b in _covered(runs, of.short)))
+            new = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), pa.array(repeated, pa.int64())]
             names = [c for c in batch.schema.names if c not in ("__raw", "__runs")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *new], names=[*names, "n_bytes", "n_removed", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *new], names=[*names, "n_bytes", "n_removed", "spans", "kept", "n_repeated"])
 
     return run
 
@@ -441,31 +492,33 @@ def _key(doc_id: Column, text: Column) -> dict[str, Column]:
     return {"id": F.coalesce(doc_id, F.lit(0).cast("long")), "key": F.xxhash64(text, doc_id)}
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, spans, kept`` of each row.
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, short: int = SHORT, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, spans, kept, n_repeated`` of each row.
 
     Each byte covered by a string of ``length`` bytes that also starts elsewhere in any
     document (the same included) is removed; ``spans`` are the maximal removed runs as byte
-    offsets, ``kept`` is what remains. All is judged on the input; strings do not span
+    offsets, ``kept`` is what remains. ``n_repeated`` counts the bytes covered by such strings
+    of ``short`` bytes, removed or not. All is judged on the input; strings do not span
     documents. A null text counts as empty; texts shorter than ``length`` stay. Repeated
     rows repeat each other. An empty table gives an empty result.
     """
+    of = Sizes(length, short, gram)
     own = F.col(doc_id).cast("long")
     rows = docs.select(own.alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("doc_id", *(c.alias(n) for n, c in _key(F.col("doc_id"), F.col("text")).items()), F.col("text").cast("binary").alias("__raw"))
     source = rows.select("id", "key", "__raw")
     kinds = ", ".join(f"{c} long" for c in _RUN)
-    counted = source.mapInArrow(_cut(length, gram, True), f"{kinds}, n long")
-    met = counted.repartition("anchor").sortWithinPartitions("anchor", "h1", "h2").mapInArrow(_meet(group), f"{kinds}, whole boolean, hard long")
-    wanted = met.where("hard > 0").groupBy("id", "key").agg(F.collect_list(F.struct("start", "windows", "anchor_at", "anchor", "h1", "h2", "hard")).alias("segments"))
-    # Repeated rows are fetched twice, which adds nothing: all their windows are repeated.
+    counted = source.mapInArrow(_cut(of, True), f"{kinds}, n long")
+    met = keep(counted.repartition("anchor").sortWithinPartitions("anchor", "h1", "h2").mapInArrow(_meet(group), f"{kinds}, repeated boolean, hard long"))
+    wanted = met.where("hard > 0").groupBy("id", "key").agg(F.collect_list(F.struct("start", "windows", "whole", "anchor_at", "anchor", "h1", "h2", "hard")).alias("segments"))
+    # Repeated rows are fetched twice, which adds nothing: all their strings are repeated.
     # With doc_id the texts' exchange has the columns of the last one, so Spark makes it once.
-    fetched = rows.join(wanted, ["id", "key"]).select("__raw", "segments", "doc_id").mapInArrow(_fetch(length), _FETCHED)
-    judged = fetched.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(_sort(length), "h1 long, h2 long, windows long, first long, size long")
-    whole = met.where("whole").select("h1", "h2", "windows", F.lit(0).cast("long").alias("first"), F.col("windows").alias("size"))
-    repeated = judged.unionByName(whole)
-    runs = source.mapInArrow(_cut(length, gram, False), kinds).select("id", "key", "start", "h1", "h2", "windows")
-    found = runs.join(repeated, ["h1", "h2", "windows"]).select("id", "key", F.struct((F.col("start") + F.col("first")).alias("at"), "size").alias("run"))
+    fetched = rows.join(wanted, ["id", "key"]).select("__raw", "segments", "doc_id").mapInArrow(_fetch(of), _FETCHED)
+    judged = fetched.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(_sort(of), ", ".join(f"{c} long" for c in _JUDGED))
+    string = lambda count, size: F.struct(F.lit(0).cast("long").alias("first"), F.col(count).alias("count"), F.lit(size).cast("long").alias("size"))
+    repeated = met.where("repeated").select("h1", "h2", F.inline(F.array(string("windows", short), string("whole", length)))).where("count > 0")
+    runs = source.mapInArrow(_cut(of, False), kinds).select("id", "key", "start", "h1", "h2")
+    found = runs.join(judged.unionByName(repeated), ["h1", "h2"]).select("id", "key", F.struct((F.col("start") + F.col("first")).alias("at"), "count", "size").alias("run"))
     by_doc = found.groupBy("id", "key").agg(F.collect_set("run").alias("__runs"))  # a set, as repeated rows bring the same runs
     out = rows.join(by_doc, ["id", "key"], "left").select("doc_id", "__raw", "__runs")
-    return out.mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    return out.mapInArrow(_remove(of), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, n_repeated long")
