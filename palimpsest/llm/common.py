@@ -26,6 +26,37 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
+#: Rows of one key are dealt to so many groups.
+SALTS = 256
+
+
+def salt(*of: str) -> Column:
+    return F.pmod(F.xxhash64(*of), F.lit(SALTS))
+
+
+def with_least(rows: DataFrame, key: str, value: str, name: str, *spread: str) -> DataFrame:
+    """``rows`` with the least ``value`` of their key as ``name``.
+
+    Rows of one key are told apart by the columns ``spread``. They meet in SALTS groups, and
+    only what these groups have found meets by key alone.
+    """
+    salted = rows.withColumn("__salt", salt(*spread))
+    parts = salted.groupBy(key, "__salt").agg(F.min(value).alias(name))
+    least = parts.groupBy(key).agg(F.min(name).alias(name))
+    return salted.join(parts.select(key, "__salt").join(least, key), [key, "__salt"]).drop("__salt")
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from ``columns`` (in any case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 HELD_OUT = 2
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 64
+from .common import SALTS, salt, unused
 
 
 class CuckooIndex:
@@ -109,27 +109,34 @@ class CuckooIndex:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Feed the partial groups and withdrawals of a partition to one index; emit what is live."""
+    """Feed the partial groups and withdrawals of a partition to one index; emit what is live, once for each of its salts."""
     index = CuckooIndex()
     withdrawn = []
     for batch in batches:
-        for digest, top, n in zip(*(batch.column(c).to_pylist() for c in ("digest", "keep_id", "group_size")), strict=True):
+        for digest, own, top, n in zip(*(batch.column(c).to_pylist() for c in ("digest", "salt", "keep_id", "group_size")), strict=True):
             if n < 0:
                 withdrawn.append(digest)
             elif (live := index.find(digest)) is None:
-                index.insert(digest, [top, n])
+                index.insert(digest, [top, n, 1 << own])
             else:
                 live[0] = top if live[0] is None or (top is not None and top > live[0]) else live[0]
                 live[1] += n
+                live[2] |= 1 << own
     for digest in withdrawn:
         index.delete(digest)
-    held = list(index.items())
-    for i in range(0, len(held), 10_000):
-        part = held[i : i + 10_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _ in part], pa.binary()), pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64())],
-            names=["digest", "keep_id", "group_size"],
-        )
+    out: list[tuple] = []
+    for digest, (top, n, salts) in index.items():
+        out += [(digest, k, top, n) for k in range(salts.bit_length()) if salts >> k & 1] if salts & (salts - 1) else [(digest, salts.bit_length() - 1, top, n)]
+        if len(out) >= 10_000:
+            yield _live(out)
+            out = []
+    if out:
+        yield _live(out)
+
+
+def _live(rows: list[tuple]) -> pa.RecordBatch:
+    types = {"digest": pa.binary(), "salt": pa.int64(), "keep_id": pa.int64(), "group_size": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)], names=list(types))
 
 
 def digest_of(text: str = "text") -> Column:
@@ -138,21 +145,20 @@ def digest_of(text: str = "text") -> Column:
 
 
 def keepers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", withdrawn: DataFrame | None = None) -> DataFrame:
-    """``digest, keep_id, group_size`` of each distinct text.
+    """``digest, salt, keep_id, group_size`` of each distinct text, once for each salt among its ids.
 
     ``keep_id`` is the largest id (null if all are). ``withdrawn`` is an optional table with
     a ``digest`` column: those digests are deleted from the index and so have no row. Rows
-    of one digest are summed in up to 64 salted groups before they meet, so that a text held
-    by a third of all rows sends no more than that many rows to its partition.
+    of one digest are summed by the salts of their ids before they meet, so that a text held
+    by a third of all rows sends no more than SALTS rows to its partition; and it gets as
+    many rows back, so that what is joined by digest and salt is spread in the same way.
     """
     rows = docs.select(digest_of(text).alias("digest"), F.col(doc_id).cast("long").alias("id"))
-    salted = rows.groupBy("digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")).agg(
-        F.max("id").alias("keep_id"), F.count("*").alias("group_size")
-    )
-    parts = salted.select("digest", "keep_id", "group_size")
+    parts = rows.groupBy("digest", salt("id").alias("salt")).agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     if withdrawn is not None:
-        parts = parts.unionByName(withdrawn.select("digest", F.lit(None).cast("long").alias("keep_id"), F.lit(-1).cast("long").alias("group_size")))
-    return parts.repartition("digest").mapInArrow(_index, "digest binary, keep_id long, group_size long")
+        gone = (F.lit(0).cast("long").alias("salt"), F.lit(None).cast("long").alias("keep_id"), F.lit(-1).cast("long").alias("group_size"))
+        parts = parts.unionByName(withdrawn.select("digest", *gone))
+    return parts.repartition("digest").mapInArrow(_index, "digest binary, salt long, keep_id long, group_size long")
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -164,8 +170,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     empty result. Other columns of ``docs`` do not matter.
     """
     rows = docs.select(digest_of(text).alias("digest"), F.col(doc_id).cast("long").alias("doc_id"))
-    rows = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("copies"))
-    out = rows.join(keepers(docs, doc_id, text), "digest")
+    rows = rows.groupBy("digest", "doc_id", salt("doc_id").alias("salt")).agg(F.count("*").alias("copies"))
+    out = rows.join(keepers(docs, doc_id, text), ["digest", "salt"])
     return out.select(
         "doc_id", "keep_id", "group_size", "digest",
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
@@ -178,9 +184,10 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that :func:`exact_dedup` does not keep; its columns as they are."""
-    key = {"id_or_0": F.coalesce(F.col("keep_id"), F.lit(0)), "no_id": F.col("keep_id").isNull()}
-    keep = keepers(docs, doc_id, text).select("digest", *(c.alias(f"__{n}") for n, c in key.items())).withColumnRenamed("digest", "__digest")
+    on = unused(docs.columns, "digest", "id_or_0", "no_id")
+    key = (F.coalesce(F.col("keep_id"), F.lit(0)), F.col("keep_id").isNull())
+    keep = keepers(docs, doc_id, text).where(F.col("salt") == salt("keep_id"))
+    keep = keep.select(F.col("digest").alias(on[0]), *(c.alias(n) for n, c in zip(on[1:], key, strict=True)))
     own = F.col(doc_id).cast("long")
-    rows = docs.withColumns({"__digest": digest_of(text), "__id_or_0": F.coalesce(own, F.lit(0)), "__no_id": own.isNull()})
-    on = ["__digest", "__id_or_0", "__no_id"]
+    rows = docs.select("*", *(c.alias(n) for n, c in zip(on, (digest_of(text), F.coalesce(own, F.lit(0)), own.isNull()), strict=True)))
     return rows.join(keep, on, "left_semi").dropDuplicates(on).select(docs.columns)

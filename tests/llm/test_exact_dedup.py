@@ -57,3 +57,12 @@ def test_odd_rows(odd, none):
 def test_withdrawn_digests(spark, odd):
     gone = spark.createDataFrame([(bytearray(hashlib.sha256(b"another text with the same id").digest()),)], "digest binary")
     assert ed.keepers(odd, withdrawn=gone).count() == ed.keepers(odd).count() - 1
+
+
+def test_large_groups_and_clashing_columns(spark):
+    rows = [(i, "common") for i in range(2000)] + [(i, f"text {i % 50}") for i in range(2000, 2200)]
+    docs = spark.createDataFrame([(*r, *"abcde") for r in rows], "doc_id long, text string, digest string, key string, ID_OR_0 string, no_id string, salt string")
+    assert sorted((tuple(r) for r in ed.exact_dedup(docs).collect()), key=str) == brute(rows)
+    kept = ed.drop_copies(docs)
+    assert kept.columns == docs.columns and {tuple(r)[2:] for r in kept.collect()} == {tuple("abcde")}
+    assert {r.doc_id for r in kept.collect()} == {i for i, _, _, k, _ in brute(rows) if k}
