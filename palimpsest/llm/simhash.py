@@ -2,10 +2,13 @@
 
 Equal fingerprints are one class from the start. Two classes can differ in at most BITS
 bits only if two of six bands agree, so classes meet in the buckets of the 15 pairs of
-bands. In a bucket, each fingerprint has a row of precomputed Hamming distances to PIVOTS
-reference fingerprints; by the triangle inequality a pair whose rows differ by more than
-BITS in some coordinate is discarded, and only survivors are compared bit by bit. A bucket
-passes on a spanning forest of its links, never all pairs.
+bands, some 30 million buckets. 10^10 classes are about 5,000 in each, and 4 * 10^14 pairs of
+rows of distances in all, which is minutes on a thousand executors.
+
+In a bucket, each fingerprint has a row of precomputed Hamming distances to PIVOTS reference
+fingerprints; by the triangle inequality a pair whose rows differ by more than BITS in some
+coordinate is discarded, and only survivors are compared bit by bit. A bucket passes on a
+spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, salt, unused, with_least
 from .components import components
 
 BITS = 4
@@ -183,14 +186,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     all marked. Null and empty texts have fingerprint zero and are linked like any other.
     An empty table gives an empty result.
     """
-    rows = keep(fingerprints(docs, doc_id, text))
+    rows = keep(fingerprints(docs, doc_id, text)).withColumn("salt", salt("doc_id", "text_key"))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    classes = rows.groupBy("fp").agg(F.min(first).alias("first"))
+    # A fingerprint may stand for a third of all rows: these meet by salt, their salts by fingerprint.
+    parts = rows.groupBy("fp", "salt").agg(F.min(first).alias("first"))
+    classes = keep(parts.groupBy("fp").agg(F.min("first").alias("first")))
     linked = components(links(classes.select("fp"), bits)).withColumnRenamed("node", "fp")
     roots = classes.join(linked, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = roots.groupBy("root").agg(F.min("first").alias("least"))
-    named = roots.select("fp", "root").join(least, "root").select("fp", "least")
-    return rows.join(named, "fp").select(
+    named = with_least(keep(roots), "root", "first", "least", "fp").select("fp", "least")
+    return rows.join(parts.select("fp", "salt").join(named, "fp"), ["fp", "salt"]).select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("least.doc_id").alias("component_id"),
@@ -202,8 +206,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
     """``docs`` with one row of each component; its columns as they are."""
     kept = near_duplicates(docs, doc_id, text, bits).where("kept")
+    on = unused(docs.columns, "key", "id_or_0", "no_id")
     own = F.col(doc_id).cast("long")
-    key = {"__key": F.xxhash64(F.col(text)), "__id_or_0": F.coalesce(own, F.lit(0)), "__no_id": own.isNull()}
-    keepers = kept.select(F.col("text_key").alias("__key"), F.coalesce("doc_id", F.lit(0)).alias("__id_or_0"), F.col("doc_id").isNull().alias("__no_id"))
-    on = list(key)
-    return docs.withColumns(key).join(keepers, on, "left_semi").dropDuplicates(on).select(docs.columns)
+    rows = docs.select("*", *(c.alias(n) for n, c in zip(on, (F.xxhash64(F.col(text)), F.coalesce(own, F.lit(0)), own.isNull()), strict=True)))
+    mine = (F.col("text_key"), F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull())
+    return rows.join(kept.select(*(c.alias(n) for n, c in zip(on, mine, strict=True))), on, "left_semi").dropDuplicates(on).select(docs.columns)

@@ -75,3 +75,16 @@ def test_odd_rows(odd, none):
     kept = simhash.drop_near_duplicates(odd)
     assert kept.columns == odd.columns and kept.count() == found.select("component_id", "fingerprint").where("kept").distinct().count()
     assert simhash.near_duplicates(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
+
+
+def test_large_groups_and_clashing_columns(spark):
+    words = [f"w{i}" for i in range(400)]
+    near = [" ".join([*words[:i], "other", *words[i + 1 :]]) for i in range(0, 400, 4)]
+    rows = [(i, None) for i in range(300)] + [(i, near[i % 100]) for i in range(300, 900)] + [(i, f"quite another text {i} {i * 7}") for i in range(900, 1000)]
+    docs = spark.createDataFrame([(*r, *"abcde") for r in rows], "doc_id long, text string, key string, _key string, salt string, NO_ID string, fp string")
+    want = plain_components({i: plain_fingerprint(t) for i, t in rows}, 4)
+    found = simhash.near_duplicates(docs).collect()
+    assert {r.doc_id: r.component_id for r in found} == want and len(found) == len(rows)
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and {tuple(r)[2:] for r in kept.collect()} == {tuple("abcde")}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
