@@ -3,9 +3,13 @@
 The patterns find the plain forms of e-mail addresses, IP addresses, card and phone numbers.
 The field labels words by their shapes (O, or the beginning or inside of a kind), is trained
 on a small table of labelled sentences made by rule, and is decoded by Viterbi over batches
-of sequences. Its sequences are the stretches of words within CONTEXT words of one that has
-a digit or an at sign, or spells one out; other words are O. What it labels is kept if it
-is a possible value of its kind and does not overlap a span of the patterns.
+of sequences. What it labels is kept if it is a possible value of its kind (``_possible``) and
+does not overlap a span of the patterns.
+
+Its sequences are the stretches within CONTEXT words of a word that has a digit, an at sign,
+no letter at all, or an ``at`` or ``dot`` that stands alone or between other signs. No kept span
+can have a word outside: numbers of any kind have no letters, so all their words are such
+words, and in an address user, host and top domain stand beside an at or a dot.
 """
 
 from __future__ import annotations
@@ -38,8 +42,9 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 _SIGN = re.compile(r"[0-9@]")
-_SPELLED = re.compile(r"[\[({]at[\])}]|\bdot\b", re.IGNORECASE)
-_GATE = re.compile(r"[0-9@]|[\[({]at[\])}]|\bdot\b|^at[\])}]", re.IGNORECASE)
+_GATE = re.compile(r"[0-9@]|\b(?:at|dot)\b|^[\W\d_]+$", re.IGNORECASE)
+#: A text without it has no possible value.
+_NEEDED = re.compile(r"[0-9@]|\bat\b", re.IGNORECASE)
 _WORD = re.compile(r"\S+")
 _TRIM = ".,;:!?\"'<>[]{}*$%&#|="
 
@@ -95,10 +100,23 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-@lru_cache(maxsize=200_000)
+#: Longer words are not held in caches.
+_CACHED = 64
+
+
 def _features(word: str) -> tuple[int, ...]:
     """Table slots of a word's own features."""
-    shape = re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]", "a", word[:40]))
+    return (_cached_features if len(word) <= _CACHED else _cached_features.__wrapped__)(word)
+
+
+def _beside(word: str, where: str) -> tuple[int, ...]:
+    """Table slots of what a neighbour sees of a word."""
+    return (_cached_beside if len(word) <= _CACHED else _cached_beside.__wrapped__)(word, where)
+
+
+@lru_cache(maxsize=200_000)
+def _cached_features(word: str) -> tuple[int, ...]:
+    shape = re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]", "a", word))
     short = re.sub(r"a+", "a", shape)
     count = min(20, sum(c == "9" for c in shape))
     named = {"len": min(len(word), 20), "shape": short, "runs": re.sub(r"9+", "9", short), "digits": count, "dots": shape.count("."), "at": "@" in word, "first": shape[:2], "last": shape[-2:], "word": word.lower() if len(word) <= 6 and not count else ""}
@@ -110,9 +128,8 @@ def _slot(feature: str) -> int:
 
 
 @lru_cache(maxsize=200_000)
-def _beside(word: str, where: str) -> tuple[int, ...]:
-    """Table slots of what a neighbour sees of a word."""
-    shape = re.sub(r"[0-9]+", "9", re.sub(r"[^\W\d_]+", "a", word[:40]))
+def _cached_beside(word: str, where: str) -> tuple[int, ...]:
+    shape = re.sub(r"[0-9]+", "9", re.sub(r"[^\W\d_]+", "a", word))
     return _slot(f"{where} shape={shape}"), _slot(f"{where} word={word.lower().strip(_TRIM) if len(word) <= 8 else ''}"), _slot(f"{where} digits={min(12, sum(c.isdigit() for c in word))}")
 
 
@@ -139,7 +156,7 @@ def labelled_table(size: int = 1500, seed: int = 7) -> list[tuple[list[str], lis
 
     def email() -> str:
         user, host, top = word() + pick(["", ".", "_"]) + pick([word(), digits(2)]), word(), pick(["com", "org", "net", "de"])
-        return pick([f"{user}@{host}.{top}", f"{user} [at] {host} dot {top}", f"{user} (at) {host}.{top}", f"{user}[at]{host}[dot]{top}", f"{user} @ {host}.{top}", f"{user} (at) {host} (dot) {top}"])
+        return pick([f"{user}@{host}.{top}", f"{user} [at] {host} dot {top}", f"{user} (at) {host}.{top}", f"{user}[at]{host}[dot]{top}", f"{user} @ {host}.{top}", f"{user} (at) {host} (dot) {top}", f"{user} at {host} dot {top}", f"{user}(at){host}(dot){top}", f"{user}(at){host}.{top}", f"{user} [at] {host} [dot] {top}"])
 
     def ip() -> str:
         parts = [str(number(1, 255)) for _ in range(4)]
@@ -155,7 +172,7 @@ def labelled_table(size: int = 1500, seed: int = 7) -> list[tuple[list[str], lis
         return pick([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"00{number(30, 49)} {a} {b}{c}", f"+{number(30, 49)} {a} {b} {c}", f"tel: {a}.{b}.{c}"])
 
     def none() -> str:
-        return pick([f"{number(1900, 2030)}-{number(10, 12)}-{number(10, 28)}", f"{number(1, 9)}.{number(0, 9)}.", f"version {number(1, 9)}.{number(0, 20)}.{number(0, 9)}", digits(number(1, 7)), f"{number(1, 23)}:{number(10, 59)}", f"token = \"{uuid.UUID(int=draw.getrandbits(128)).hex}\"", f"{number(1, 999)},{digits(3)}", f"({number(1, 20)})", f"no. {number(1, 99)}", f"§ {number(1, 99)}", f"{digits(2)}%", f"${digits(3)}.{digits(2)}", digits(number(18, 30)), f"{word()}{digits(2)}", f"@{word()}", f"{number(1, 9)} {word()} {number(1, 9)}", f"{number(10, 99)} {number(10, 99)} {number(10, 99)}"])
+        return pick([f"{number(1900, 2030)}-{number(10, 12)}-{number(10, 28)}", f"{number(1, 9)}.{number(0, 9)}.", f"version {number(1, 9)}.{number(0, 20)}.{number(0, 9)}", digits(number(1, 7)), f"{number(1, 23)}:{number(10, 59)}", f"token = \"{uuid.UUID(int=draw.getrandbits(128)).hex}\"", f"{number(1, 999)},{digits(3)}", f"({number(1, 20)})", f"no. {number(1, 99)}", f"§ {number(1, 99)}", f"{digits(2)}%", f"${digits(3)}.{digits(2)}", digits(number(18, 30)), f"{word()}{digits(2)}", f"@{word()}", f"{number(1, 9)} {word()} {number(1, 9)}", f"{number(10, 99)} {number(10, 99)} {number(10, 99)}", f"{word()} at {word()}", f"{word()} at {word()} {word()}", f"{word()} at {word()}.{pick(['com', 'org', 'net', 'de'])}", f"at {word()}.", f"dot {word()}", f"{word()} at {number(1, 12)}", "-", "..."])
 
     makers = {"email": email, "ip": ip, "card": numbered_card, "phone": phone}
     rows = []
@@ -186,8 +203,19 @@ class Model:
     transitions: np.ndarray
 
 
-def _scores(weights: np.ndarray, slots: list[list[int]]) -> np.ndarray:
-    return weights[np.array(slots, np.int64).reshape(len(slots), -1)].sum(axis=1)
+def emissions(weights: np.ndarray, sequences_: list[list[str]]) -> np.ndarray:
+    """Scores by label of all words of the sequences, each distinct word looked at once."""
+    places: dict[str, int] = {}
+    padded = np.array([places.setdefault(w, len(places)) for s in sequences_ for w in ("<s>", *s, "</s>")], np.int64)
+    own, before, after = (
+        weights[np.array([f(w) for w in places], np.int64).reshape(len(places), -1)].sum(axis=1)
+        for f in (_features, lambda w: _beside(w, "before"), lambda w: _beside(w, "after"))
+    )
+    sizes = np.array([len(s) + 2 for s in sequences_], np.int64)
+    inner = np.ones(len(padded), bool)
+    inner[np.cumsum(sizes) - 1] = inner[np.cumsum(sizes) - sizes] = False
+    inner = np.flatnonzero(inner)
+    return own[padded[inner]] + before[padded[inner - 1]] + after[padded[inner + 1]]
 
 
 def train(table: list[tuple[list[str], list[str]]] | None = None, rounds: int = 12, seed: int = 0) -> Model:
@@ -251,7 +279,7 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) -> n
 
 def sequences(text: str) -> list[list[tuple[int, int]]]:
     """Stretches of words, as their spans, within CONTEXT words of one that may belong to personal data."""
-    if not _SIGN.search(text) and not _SPELLED.search(text):
+    if not _NEEDED.search(text):
         return []
     places = [m.span() for m in _WORD.finditer(text)]
     out: list[list[tuple[int, int]]] = []
@@ -284,16 +312,16 @@ def _possible(kind: str, text: str) -> bool:
 def find(texts: list[str], model: Model) -> list[tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]]:
     """Of each text the pattern's spans and the spans that the field adds, by kind."""
     base, found = [base_spans(t) if _SIGN.search(t) else {k: [] for k in KINDS} for t in texts], [{k: [] for k in KINDS} for _ in texts]
-    owner, spans, slots, sizes = [], [], [], []
+    owner, spans, words, sizes = [], [], [], []
     for k, text in enumerate(texts):
         for sequence in sequences(text):
             owner += [k] * len(sequence)
             spans += sequence
-            slots += _slots([text[a:b] for a, b in sequence])
+            words.append([text[a:b] for a, b in sequence])
             sizes.append(len(sequence))
     if not spans:
         return list(zip(base, found, strict=True))
-    labels = viterbi(_scores(model.weights, slots), np.array(sizes), model.transitions)
+    labels = viterbi(emissions(model.weights, words), np.array(sizes), model.transitions)
     first = set(np.cumsum([0, *sizes]).tolist())
     i = 0
     while i < len(spans):

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -6,6 +7,7 @@ import pytest
 
 from palimpsest.llm import pii_crf as pii
 from palimpsest.llm import queries
+from palimpsest.llm.common import table
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -43,7 +45,7 @@ def model():
 def test_held_out_labels(model):
     right = total = 0
     for words, labels in pii.labelled_table(300, seed=99):
-        found = pii.viterbi(pii._scores(model.weights, pii._slots(words)), np.array([len(words)]), model.transitions)
+        found = pii.viterbi(pii.emissions(model.weights, [words]), np.array([len(words)]), model.transitions)
         right += sum(pii.LABELS[a] == b for a, b in zip(found, labels, strict=True))
         total += len(labels)
     assert right / total > 0.98
@@ -83,7 +85,7 @@ def test_disguised_addresses_reach_the_field_without_digits_nearby(address):
 def test_every_labelled_form_is_found_without_digits_nearby(model):
     syllables = ["an", "er", "ti", "la", "que", "ment"]
     draw, missed = random.Random(3), {}
-    for form in ("{}@{}.{}", "{} [at] {} dot {}", "{} (at) {}.{}", "{}[at]{}[dot]{}", "{} @ {}.{}", "{} (at) {} (dot) {}"):
+    for form in ("{}@{}.{}", "{} [at] {} dot {}", "{} (at) {}.{}", "{}[at]{}[dot]{}", "{} @ {}.{}", "{} (at) {} (dot) {}", "{} at {} dot {}", "{}(at){}(dot){}", "{}(at){}.{}", "{} [at] {} [dot] {}"):
         missed[form] = 0
         for _ in range(50):
             name = lambda: "".join(draw.choices(syllables, k=2))
@@ -94,6 +96,84 @@ def test_every_labelled_form_is_found_without_digits_nearby(model):
     assert max(missed.values()) <= 5, missed
 
 
+@pytest.mark.parametrize("address", ["john[at]example[dot]com", "john(at)example.com", "john(at)example(dot)com", "john at example dot com"])
+def test_plain_disguised_addresses(model, address):
+    (_, added), = pii.find([f"please write to {address} if you like"], model)
+    assert [f"please write to {address} if you like"[a:b] for a, b in added["email"]] == [address]
+
+
+def test_words_at_alone_is_no_address(model):
+    texts = ["we met at noon and looked at the dot on the wall", "have a look at example.com or meet us at the station", "he was at home at ten - and left at 12 ..."]
+    assert not any(s for _, added in pii.find(texts, model) for s in added.values())
+
+
+def plain_spans(text, model):
+    """All spans of a text, decoded word by word and path by path of one sequence at a time."""
+    n = len(pii.LABELS)
+    places = [m.span() for m in re.finditer(r"\S+", text)]
+    words = [text[a:b] for a, b in places]
+    near = [any(0 <= j < len(words) and (re.search(r"[0-9@]|\b(?:at|dot)\b", words[j], re.I) or not any(c.isalpha() for c in words[j])) for j in range(i - 3, i + 4)) for i in range(len(words))]
+    base, out = plain(text), {k: [] for k in pii.KINDS}
+    i = 0
+    while i < len(words) and re.search(r"[0-9@]|\bat\b", text, re.I):
+        if not near[i]:
+            i += 1
+            continue
+        j = i
+        while j < len(words) and near[j]:
+            j += 1
+        own = ["<s>", *words[i:j], "</s>"]
+        best, back = None, []
+        for t in range(1, len(own) - 1):
+            x = model.weights[[*pii._features(own[t]), *pii._beside(own[t - 1], "before"), *pii._beside(own[t + 1], "after")]].astype(float).sum(axis=0)
+            if best is None:
+                best = list(x)
+                continue
+            steps = [[best[a] + model.transitions[a, b] for a in range(n)] for b in range(n)]
+            back.append([max(range(n), key=s.__getitem__) for s in steps])
+            best = [max(s) + v for s, v in zip(steps, x, strict=True)]
+        path = [max(range(n), key=best.__getitem__)]
+        for step in reversed(back):
+            path.append(step[path[-1]])
+        names = [pii.LABELS[k] for k in reversed(path)]
+        t = 0
+        while t < len(names):
+            e = t + 1
+            if names[t] != "O":
+                kind = names[t][2:]
+                while e < len(names) and names[e] == f"I-{kind}":
+                    e += 1
+                a, b = places[i + t][0], places[i + e - 1][1]
+                while a < b and text[a] in pii._TRIM:
+                    a += 1
+                while a < b and (text[b - 1] in pii._TRIM or (text[b - 1] == ")" and "(" not in text[a:b])):
+                    b -= 1
+                if a < b and pii._possible(kind, text[a:b]) and all(y <= a or b <= x for spans in base.values() for x, y in spans):
+                    out[kind].append((a, b))
+            t = e
+        i = j
+    return base, {k: sorted(base[k] + out[k]) for k in pii.KINDS}
+
+
+def test_query_against_a_plain_version(spark, model):
+    """op4's rows over its whole table, base and added spans."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in table(spark, sf, "documents").collect()}
+    rows = queries.op4_pii_crf(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        base, spans = plain_spans(texts[r.doc_id], model)
+        listed = lambda found: ",".join(f"{k}:{a}:{b}" for k in pii.KINDS for a, b in found[k])
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [len(base[k]) for k in pii.KINDS]
+        assert r.base_sha256 == hashlib.sha256(listed(base).encode()).hexdigest() and r.spans == listed(spans)
+
+
+def test_long_words(model):
+    text = f"call {'x1' * 100_000} or (555) 123-4567 {'-' * 100_000} now"
+    (_, added), = pii.find([text], model)
+    assert [text[a:b] for a, b in added["phone"]] == ["(555) 123-4567"]
+
+
 def test_query_and_odd_rows(spark, odd, none, model):
     out = queries.op4_pii_crf(spark, "/root/testdata/sf0.001")
     assert [t for _, t in out.dtypes] == ["bigint"] * 5 + ["string"] * 2
