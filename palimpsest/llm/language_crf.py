@@ -3,8 +3,10 @@
 Each word is a node whose features are its affixes, its byte n-grams (with the word's
 boundaries) and the word itself as a lexicon entry, all hashed into one weight table;
 transitions between languages are learned with them, on word sequences that switch
-documents now and then. Forward-backward gives each word's distribution over languages, in
-batches of many sequences; a document's language is the one with the largest mean.
+documents now and then. Forward-backward gives each word's distribution over languages, a
+text being one chain however long it is. Chains are stepped in chunks, all chunks at once: the
+product of a chunk's factors carries messages across it, so that each chunk starts and ends
+with what the rest of its text says. A document's language is the one with the largest mean.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from .common import HELD_OUT, fold
 SAMPLE_DOCS, LEAST_DOCS = 2000, 20
 #: Characters of a text that are read; of a longer text PIECES spread over the whole of it.
 SAMPLE_CHARS, PIECES = 6_000, 12
-#: Words of a sequence; a longer text is several sequences.
+#: Words of a training sequence, and of the chunks in which a longer text's chain is stepped.
 SEQUENCE = 64
 TABLE_BITS = 16
 BLOCK = 400_000
@@ -90,10 +92,11 @@ def _emissions(weights: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray
     return starts, out
 
 
-def forward_backward(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+def forward_backward(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndarray, pairs: np.ndarray | None = None, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
     """Distributions of all words: ``scores`` of sequences one after another, of ``sizes`` words each.
 
-    ``pairs``, if given, gets the expected number of each transition added.
+    ``pairs``, if given, gets the expected number of each transition added. ``before`` and
+    ``after`` are messages that reach a sequence's first and last word from outside.
     """
     out = np.zeros_like(scores)
     if not len(scores):
@@ -103,16 +106,18 @@ def forward_backward(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndar
     first, sizes = first[order], sizes[order]
     node = np.exp(scores - scores.max(axis=1, keepdims=True))
     step = np.exp(transitions - transitions.max()).astype(scores.dtype)
+    ones = np.ones((len(sizes), scores.shape[1]), scores.dtype)
+    before, after = (ones if m is None else m[order] for m in (before, after))
     alive = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(int(sizes[0]))]
     forward, state = [], None
     for t, n in enumerate(alive):
-        state = node[first[:n] + t] * (1 if state is None else state[:n] @ step)
+        state = node[first[:n] + t] * (before if state is None else state[:n] @ step)
         state = state / state.sum(axis=1, keepdims=True)
         forward.append(state)
-    state = np.ones((0, scores.shape[1]), scores.dtype)
+    state = ones[:0]
     for t in range(len(alive) - 1, -1, -1):
         n = alive[t]
-        state = np.concatenate([state, np.ones((n - len(state), scores.shape[1]), scores.dtype)])
+        state = np.concatenate([state, after[len(state) : n]])
         both = forward[t] * state
         out[first[:n] + t] = both / both.sum(axis=1, keepdims=True)
         ahead = state * node[first[:n] + t]
@@ -124,6 +129,44 @@ def forward_backward(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndar
     return out
 
 
+def chain_forward_backward(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndarray, chunk: int = SEQUENCE) -> np.ndarray:
+    """:func:`forward_backward` for sequences of any length, in steps of whole chunks."""
+    if not len(scores):
+        return np.zeros_like(scores)
+    numbers = -(-sizes // chunk)
+    of = np.repeat(np.arange(len(sizes)), numbers)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(numbers) - numbers, numbers)  # a chunk's place in its sequence
+    parts = np.minimum(chunk, sizes[of] - at * chunk)
+    n = scores.shape[1]
+    before, after = np.ones((len(of), n), scores.dtype), np.ones((len(of), n), scores.dtype)
+    if numbers.max() > 1:
+        long = np.flatnonzero(numbers[of] > 1)
+        node = np.exp(scores - scores.max(axis=1, keepdims=True))
+        step = np.exp(transitions - transitions.max()).astype(scores.dtype)
+        first = (np.cumsum(parts) - parts)[long]
+        # What a chunk makes of each label before its first word's factor, at its last word.
+        across = np.eye(n, dtype=scores.dtype)[None] * node[first][:, None, :]
+        for t in range(1, chunk):
+            on = np.flatnonzero(parts[long] > t)
+            moved = (across[on].reshape(-1, n) @ step).reshape(-1, n, n) * node[first[on] + t][:, None, :]
+            across[on] = moved / moved.max(axis=(1, 2), keepdims=True)
+        product = np.zeros((len(of), n, n), scores.dtype)
+        product[long] = across
+        place = np.cumsum(numbers) - numbers
+        order = np.argsort(-numbers, kind="stable")
+        place, numbers = place[order], numbers[order]
+        alive = [int(np.searchsorted(-numbers, -k, side="left")) for k in range(int(numbers[0]))]
+        for k in range(1, len(alive)):
+            now = place[: alive[k]] + k
+            carried = np.einsum("ci,cij->cj", before[now - 1], product[now - 1]) @ step
+            before[now] = carried / carried.sum(axis=1, keepdims=True)
+        for k in range(len(alive) - 1, 0, -1):
+            now = place[: alive[k]] + k
+            carried = np.einsum("cij,cj->ci", product[now], after[now]) @ step.T
+            after[now - 1] = carried / carried.sum(axis=1, keepdims=True)
+    return forward_backward(scores, parts, transitions, None, before, after)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -238,8 +281,7 @@ def identify_texts(model: Model, texts: list[str | None]) -> list[tuple[np.ndarr
         bounds = np.cumsum([0] + [len(p) + 2 for _, p in parts])
         cuts = np.searchsorted(starts - 1, bounds)
         counts = np.diff(cuts)
-        lengths = np.concatenate([np.append(np.full(n // SEQUENCE, SEQUENCE), n % SEQUENCE) for n in counts.tolist()]).astype(np.int64)
-        p = forward_backward(scores, lengths[lengths > 0], model.transitions)
+        p = chain_forward_backward(scores, counts[counts > 0], model.transitions)
         for (k, _), a, b, base in zip(parts, cuts[:-1].tolist(), cuts[1:].tolist(), bounds[:-1].tolist()):
             out[k] = (starts[a:b] - 1 - base, p[a:b])
         parts, held = [], 0

@@ -1,3 +1,5 @@
+import re
+import zlib
 from itertools import product
 
 import numpy as np
@@ -38,6 +40,68 @@ def test_forward_backward_against_all_paths():
     assert np.allclose(got, want) and np.allclose(pairs, want_pairs)
 
 
+def test_chunks_are_one_chain():
+    draw = np.random.default_rng(2)
+    sizes, n = np.array([5, 200, 1, 64, 65, 128, 1000]), 4
+    scores, transitions = draw.normal(size=(sizes.sum(), n)) * 0.3, draw.normal(size=(n, n)) * 2
+    want = crf.forward_backward(scores, sizes, transitions)
+    for chunk in (1, 7, 64, 5000):
+        assert np.allclose(crf.chain_forward_backward(scores, sizes, transitions, chunk), want)
+    single = crf.chain_forward_backward(scores.astype(np.float32), sizes, transitions.astype(np.float32))
+    assert np.abs(single - want).max() < 1e-4
+    assert crf.chain_forward_backward(scores[:0], sizes[:0], transitions).shape == (0, n)
+
+
+def plain_document(model, text):
+    """The prediction and mean of a text from the words, features and sums written out one by one, without batches, blocks or chunks."""
+    word = re.compile(rb"[a-z\x80-\xff]+")
+    raw = b" " + text.lower().encode() + b" "
+    mask = (1 << 64) - 1
+    base = crf._BASE
+
+    def slot(x, kind):
+        x = (x + kind + 1) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 31) * 0x94D049BB133111EB & mask
+        return x >> (64 - crf.TABLE_BITS)
+
+    def polynomial(w):
+        return sum((c + 1) * pow(base, k, 1 << 64) for k, c in enumerate(w)) & mask
+
+    scores = []
+    for m in word.finditer(raw):
+        w = m[0]
+        slots = [slot(polynomial(w), 1), slot(polynomial(w[:2]), 2), slot(polynomial(w[:4]), 3), slot(polynomial(w[-2:]), 4), slot(polynomial(w[-4:]), 5)]
+        padded = b" " + w + b" "
+        slots += [slot(padded[k] << 16 | padded[k + 1] << 8 | padded[k + 2], 6) for k in range(len(w))]
+        scores.append(model.weights[slots].astype(float).sum(axis=0))
+    scores, step = np.array(scores), model.transitions.astype(float)
+    forward, backward = [scores[0]], [np.zeros(scores.shape[1])]
+    for x in scores[1:]:
+        forward.append(x + np.logaddexp.reduce(forward[-1][:, None] + step, axis=0))
+    for x in scores[:0:-1]:
+        backward.append(np.logaddexp.reduce(step + x + backward[-1], axis=1))
+    both = np.array(forward) + np.array(backward[::-1])
+    return np.exp(both - np.logaddexp.reduce(both, axis=1)[:, None]).mean(axis=0)
+
+
+def test_query_against_a_plain_version(spark):
+    """op5's rows over its whole table: every document's language and score, computed word by word."""
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    model = crf.train(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = queries.op5_language_crf(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        text = texts[r.doc_id]
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if not text or not any(map(str.isalpha, text)):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        p = plain_document(model, text)
+        assert model.languages[int(p.argmax())] == r.lang_pred and abs(p.max() - r.score) < 1e-3
+
+
 def test_switched_text_is_labelled_word_by_word(spark):
     docs = table(spark, SF, "documents").where("lang in ('en', 'de') and n_chars between 300 and 3000").select("text", "lang").limit(300).collect()
     model = crf.fit([r.text for r in docs], [r.lang for r in docs])
