@@ -160,12 +160,18 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on labelled rows that are not held out, at most ``sample``. Null labels, ids and duplicates are no obstacle."""
+    """Fit on labelled rows that are not held out, at most ``sample``.
+
+    Of the labels, ``sample`` are taken by the hash of their ids, and of the rows that these
+    give, which are more only where ids repeat, again ``sample`` by the hash of id and text.
+    Null labels, ids and duplicates are no obstacle.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(fold() != HELD_OUT)
     known = known.select("doc_id", F.col(label).cast("double").alias("__y")).orderBy(F.xxhash64("doc_id"), "doc_id", "__y").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    found = with_statistics(rows).select("__y", *(f"__{n}" for n in NAMES)).orderBy("doc_id", "__y").limit(2 * sample).toPandas()
-    return fit(found.iloc[:, 1:].to_numpy(float), found["__y"].to_numpy(float))
+    rows = with_statistics(rows).select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "__y", *(f"__{n}" for n in NAMES))
+    found = rows.orderBy("h", "doc_id", "__y").limit(sample).toPandas().sort_values(["doc_id", "__y", "h"])
+    return fit(found[[f"__{n}" for n in NAMES]].to_numpy(float), found["__y"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -174,5 +180,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     Null texts score as empty ones. Columns of ``docs`` with the names of results are replaced.
     """
     names = [c for c in docs.columns if c not in ("score", "predicted")]
-    out = with_statistics(docs.select(names)).select(*names, model.score().alias("score"))
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in names):
+        prefix += "_"
+    out = with_statistics(docs.select(names), prefix=prefix).select(*names, model.score(prefix).alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
