@@ -1,8 +1,9 @@
 """Ranks that do not need all rows of a group in one task.
 
-Rows are first counted by distinct value. Distinct values fall into buckets by approximate
-quantiles; running counts are taken within a bucket, and the buckets' totals, a small table,
-give each its offset.
+Rows are first counted by distinct value. Distinct values of a group fall into as many
+buckets as it takes for each to hold about ROWS, by the group's own approximate quantiles;
+running counts are taken within a bucket, and the buckets' totals, a small table, give each
+its offset.
 """
 
 from __future__ import annotations
@@ -12,27 +13,49 @@ from pyspark.sql import functions as F
 
 from ..session import keep
 
-BUCKETS = 32
+#: Distinct values that are ranked in one task.
+ROWS = 250_000
 
 
-def value_counts(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS, **sums: Column) -> DataFrame:
+def value_counts(df: DataFrame, keys: list[str], value: str, rows: int = ROWS, **sums: Column) -> DataFrame:
     """Per distinct non-null ``value``: ``n`` rows with it and ``before``, rows with a lesser one, by ``keys``.
 
-    ``sums`` are further columns to total per value. NaN counts as the largest value.
+    ``sums`` are further columns to total per value. NaN counts as the largest value. Null
+    keys are a group of their own.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"), *(F.sum(c).alias(k) for k, c in sums.items()))
-    counted = keep(counted)  # what the quantiles are of is not computed again below
-    cuts = sorted(set(counted.where(~F.isnan(value)).approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.01))) if buckets > 1 else []
-    bucket = F.lit(0)
-    for cut in cuts:
-        bucket = bucket + (F.col(value) > cut).cast("int")
-    counted = counted.withColumn("bucket", bucket)
-    totals = counted.groupBy(*keys, "bucket").agg(F.sum("n").alias("m"))
-    earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "bucket", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("offset"))
-    inner = Window.partitionBy(*keys, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = counted.withColumn("within", F.coalesce(F.sum("n").over(inner), F.lit(0)))
-    return out.join(offsets, [*keys, "bucket"]).withColumn("before", F.col("offset") + F.col("within")).drop("bucket", "within", "offset")
+    counted = keep(counted)  # read for the sizes, the cuts and the ranks
+    bucketed, n = in_buckets(counted, keys, value, rows)
+    inner = Window.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = bucketed.withColumn("before", F.coalesce(F.sum("n").over(inner), F.lit(0)))
+    if n > 1:
+        totals = bucketed.groupBy(*keys, "__bucket").agg(F.sum("n").alias("__m"))
+        earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(*keys, "__bucket", F.coalesce(F.sum("__m").over(earlier), F.lit(0)).alias("__offset"))
+        out = with_group(out, offsets, [*keys, "__bucket"], ["__offset"]).withColumn("before", F.col("before") + F.col("__offset")).drop("__offset")
+    return out.drop("__bucket")
+
+
+def in_buckets(values: DataFrame, keys: list[str], value: str, rows: int = ROWS) -> tuple[DataFrame, int]:
+    """``values`` with ``__bucket``, which rises with the value within ``keys``, and how many buckets the largest group has."""
+    largest = values.groupBy(*keys).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0
+    n = max(1, -(-largest // rows))
+    if n == 1:
+        return values.withColumn("__bucket", F.lit(0)), 1
+    shares = F.array(*(F.lit(k / n) for k in range(1, n)))
+    cuts = values.where(~F.isnan(value)).groupBy(*keys).agg(F.percentile_approx(value, shares, F.lit(20 * n)).alias("__cuts"))
+    found = with_group(values, cuts, keys, ["__cuts"])
+    bucket = F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: F.col(value) > c))
+    return found.withColumn("__bucket", bucket).drop("__cuts"), n
+
+
+def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``rows`` with ``columns`` of their group, null keys included."""
+    if not keys:
+        return rows.crossJoin(F.broadcast(groups.select(*columns)))  # one row
+    other = groups.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *columns)
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return rows.join(other, on, "left").select(*rows.columns, *columns)
 
 
 def mid_rank(before: Column, n: Column) -> Column:
@@ -43,9 +66,20 @@ def mid_rank(before: Column, n: Column) -> Column:
 def percent_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """``df`` with the mid-rank of ``value`` within ``keys`` as a share of the rows that have one."""
     ranks = value_counts(df, keys, value)
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("__size"))
-    joined = ranks.join(sizes, keys).select(*keys, value, (mid_rank(F.col("before"), F.col("n")) / F.col("__size")).alias(out))
-    return df.join(joined, [*keys, value], "left").select(*df.columns, out)
+    sizes = ranks.groupBy(*keys).agg(F.sum("n").alias("__size"))
+    joined = with_group(ranks, sizes, keys, ["__size"]).withColumn(out, mid_rank(F.col("before"), F.col("n")) / F.col("__size"))
+    return with_group(df, joined, [*keys, value], [out])
+
+
+def medians(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Medians of ``values`` by ``keys``, the mean of the middle two; null without any. NaN counts as the largest value."""
+    long = df.select(*keys, F.inline(F.array(*(F.struct(F.lit(v).alias("__name"), F.col(v).cast("double").alias("__x")) for v in values))))
+    ranks = value_counts(long, [*keys, "__name"], "__x")
+    sizes = ranks.groupBy(*keys, "__name").agg(F.sum("n").alias("__size"))
+    found = with_group(ranks, sizes, [*keys, "__name"], ["__size"])
+    at = lambda place: F.max(F.when((F.col("before") < place) & (place <= F.col("before") + F.col("n")), F.col("__x")))
+    middle = found.groupBy(*keys, "__name").agg(((at(F.floor((F.col("__size") + 1) / 2)) + at(F.floor(F.col("__size") / 2) + 1)) / 2).alias("__median"))
+    return middle.groupBy(*keys).agg(*(F.max(F.when(F.col("__name") == v, F.col("__median"))).alias(v) for v in values))
 
 
 def quantile_bin(ordinal: Column, n: Column, bins: int = 5) -> Column:

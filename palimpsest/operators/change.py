@@ -9,6 +9,10 @@ from ..functions.text import tokens
 from ..session import keep
 
 
+#: Most frequent terms of all sections whose statistics are broadcast.
+HEAD = 20_000
+
+
 def term_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``term, tf`` of each document."""
     return docs.select(*keys, F.explode(tokens(F.col(text))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
@@ -80,7 +84,11 @@ def section_changes(reports: DataFrame, sections: DataFrame) -> DataFrame:
     terms = terms.groupBy("accession", "section", "year", "term").agg(
         F.sum(F.when(F.col("current") == 1, F.col("tf")).otherwise(0)).alias("a"), F.sum(F.when(F.col("current") == 0, F.col("tf")).otherwise(0)).alias("b")
     )
-    weighed = terms.join(stats, ["section", "term"]).join(bounds, ["section", "year"])
+    # Terms that most documents have would each be one key of nearly all pairs: their statistics are sent to the pairs.
+    terms, stats, on = keep(terms), keep(stats), ["section", "term"]
+    head = F.broadcast(stats.orderBy(F.col("df").desc(), *on).limit(HEAD))
+    weighed = terms.join(head, on).unionByName(terms.join(F.broadcast(head.select(*on)), on, "left_anti").join(stats, on))
+    weighed = weighed.join(F.broadcast(bounds), ["section", "year"])  # a row by section and year
     seen = before(F.col("years"), "df", F.col("year"))
     pit = F.when(seen > 0, _idf(F.col("n_before"), seen)).otherwise(_idf(F.col("n_before"), F.col("least_df")))
     weighed = weighed.select("accession", "section", "a", "b", "n_before", _idf(F.col("n"), F.col("df")).alias("w"), pit.alias("wp"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import value_counts
+from ..functions.ranks import in_buckets, value_counts
+from ..session import keep
 from .reports import area_under_curve
 
-DRAWS = 200
+DRAWS = 2000
 
 
 def roc_auc(rows: DataFrame, score: str = "score", label: str = "label", keys: list[str] | None = None) -> DataFrame:
@@ -46,8 +47,8 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, score: str = "score", label
     """A 95 % interval of the AUC (or of its difference to that of ``other``) over draws of whole clusters.
 
     Rows are summed per cluster, score and label first. Each draw weighs clusters by a hash,
-    so draws are independent tasks and a rerun gives the same numbers. Draws of one class
-    are left out.
+    so draws are independent and a rerun gives the same numbers. A draw's scores are ranked
+    in buckets, whose sums then meet by draw. Draws of one class are left out.
     """
     names = [score] + ([other] if other else [])
     ones = rows.where(F.col(label).isNotNull())
@@ -55,14 +56,18 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, score: str = "score", label
         ones = ones.where(F.col(n).isNotNull())
     per_draw = []
     for name in names:
-        counted = ones.groupBy(cluster, name).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("int")).alias("p"))
+        counted = keep(ones.groupBy(cluster, name).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("int")).alias("p")))
+        counted, _ = in_buckets(counted, [], name)
         drawn = counted.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("m", multiplicity(F.col("draw"), F.col(cluster))).where("m > 0")
-        sums = drawn.groupBy("draw", name).agg(F.sum(F.col("n") * F.col("m")).alias("n"), F.sum(F.col("p") * F.col("m")).alias("p"))
-        order = Window.partitionBy("draw").orderBy(name)
-        ranked = sums.withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        sums = drawn.groupBy("draw", "__bucket", name).agg(F.sum(F.col("n") * F.col("m")).alias("n"), F.sum(F.col("p") * F.col("m")).alias("p"))
+        within = Window.partitionBy("draw", "__bucket").orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+        ranked = sums.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0)))
+        parts = ranked.groupBy("draw", "__bucket").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum(F.col("p") * (F.col("before") + (F.col("n") + 1) / 2.0)).alias("r"))
+        earlier = Window.partitionBy("draw").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
         n1, total = F.sum("p"), F.sum("n")
-        u = F.sum(F.col("p") * (F.col("before") + (F.col("n") + 1) / 2.0)) - n1 * (n1 + 1) / 2.0
-        per_draw.append(ranked.groupBy("draw").agg(F.try_divide(u, (n1 * (total - n1)).cast("double")).alias(f"auc{len(per_draw)}")))
+        u = F.sum(F.col("r") + F.col("p") * F.col("offset")) - n1 * (n1 + 1) / 2.0
+        per_draw.append(parts.groupBy("draw").agg(F.try_divide(u, (n1 * (total - n1)).cast("double")).alias(f"auc{len(per_draw)}")))
     joined = per_draw[0] if not other else per_draw[0].join(per_draw[1], "draw")
     value = F.col("auc0") if not other else F.col("auc0") - F.col("auc1")
     known = joined.select(value.alias("x")).where("x is not null")

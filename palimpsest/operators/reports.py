@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import mid_rank, value_counts
+from ..functions.ranks import medians, mid_rank, value_counts, with_group
 from ..functions.times import api_instant, days_between, local_time, trading_session
 
 
@@ -100,15 +100,11 @@ def section_outcomes(sections: DataFrame, reports: DataFrame) -> DataFrame:
 
 def change_summary(changes: DataFrame) -> DataFrame:
     """Medians of the similarities, by section."""
-    middle = lambda c: F.round(F.median(c), 3)
-    return changes.groupBy("section").agg(
-        F.count("*").alias("pairs"),
-        F.countDistinct("cik").alias("firms"),
-        middle("sim_cosine").alias("median_cosine"),
-        middle("sim_jaccard").alias("median_jaccard"),
-        middle("sim_tfidf").alias("median_tfidf"),
-        _percent(F.col("sim_cosine") > 0.9995).alias("pct_near_verbatim"),
-    )
+    names = ["sim_cosine", "sim_jaccard", "sim_tfidf"]
+    middle = medians(changes, ["section"], names).select("section", *(F.round(n, 3).alias(n.replace("sim", "median")) for n in names))
+    counted = changes.groupBy("section").agg(F.count("*").alias("pairs"), F.countDistinct("cik").alias("firms"), _percent(F.col("sim_cosine") > 0.9995).alias("pct_near_verbatim"))
+    found = with_group(counted, middle, ["section"], [n.replace("sim", "median") for n in names])
+    return found.select("section", "pairs", "firms", "median_cosine", "median_jaccard", "median_tfidf", "pct_near_verbatim")
 
 
 def area_under_curve(rows: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:

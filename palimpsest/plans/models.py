@@ -39,11 +39,11 @@ def fact_preference(spark: SparkSession, sf: str) -> DataFrame:
 @register(r"""WITH l AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS t(i)),
   near AS (SELECT *, max(regexp_matches(line, '(?i)(?:token|license|that )')::int) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS near FROM l),
   kept AS (SELECT * FROM near WHERE near = 1 AND (regexp_matches(line, '[0-9]') OR length(line) <= 300)),
-  sized AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(line) > 2000 AS over_ FROM kept),
+  sized AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(line) > 8000 AS over_ FROM kept),
   cut AS (SELECT *, max(over_::int) OVER (PARTITION BY doc_id ORDER BY i) AS stopped FROM sized)
   SELECT d.doc_id, CAST(length(p) AS BIGINT) AS size, md5(p) AS digest FROM (SELECT d.doc_id, coalesce((SELECT string_agg(line, chr(10) ORDER BY i) FROM cut c WHERE c.doc_id = d.doc_id AND stopped = 0), '') AS p FROM documents d) d""")
 def passage(spark: SparkSession, sf: str) -> DataFrame:
-    made = labels.passage(F.col("text"), mention=r"(?i)(?:token|license|that )", most=2000)
+    made = labels.passage(F.col("text"), mention=r"(?i)(?:token|license|that )")
     docs = s.read(spark, sf, "documents").select("doc_id", F.explode(F.array(made)).alias("p"))
     return docs.select("doc_id", F.length("p").cast("long").alias("size"), F.md5("p").alias("digest"))
 
@@ -100,7 +100,7 @@ def extraction_score(spark: SparkSession, sf: str) -> DataFrame:
     return labels.extraction_scores(rows)
 
 
-@register("""SELECT doc_id, CAST(len(p) AS BIGINT) AS n, md5(array_to_string(p[1:300], chr(10))) AS digest FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: length(x) >= 200) AS p FROM documents) WHERE len(p) <= 300""")
+@register("""SELECT doc_id, least(len(p), 300) AS n, md5(array_to_string(p[1:300], chr(10))) AS digest FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: length(x) >= 200) AS p FROM documents)""")
 def paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     docs = s.read(spark, sf, "documents").select("doc_id", text.paragraphs(F.col("text")).alias("p"))
     return docs.select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "\n")).alias("digest"))
@@ -151,7 +151,7 @@ def average_precision(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CUTS = [sum(0.36787944117144233 / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)[: k + 1]) for k in range(8)]
-_DRAWN = _SCORED + """, draws AS (SELECT unnest(range(0, 50)) AS draw), u AS (SELECT DISTINCT source, draw, CAST('0x' || substr(md5(draw || ':' || source), 1, 8) AS UBIGINT) / 4294967296.0 AS u FROM scored, draws),
+_DRAWN = _SCORED + """, draws AS (SELECT unnest(range(0, 2000)) AS draw), u AS (SELECT DISTINCT source, draw, CAST('0x' || substr(md5(draw || ':' || source), 1, 8) AS UBIGINT) / 4294967296.0 AS u FROM scored, draws),
   m AS (SELECT source, draw, """ + " + ".join(f"(u >= {c!r})::int" for c in _CUTS) + " AS m FROM u)"
 
 
@@ -163,13 +163,13 @@ def _drawn_auc(column: str) -> str:
 
 @register(f"WITH {_DRAWN} SELECT count(*) AS draws, round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.975), 6) AS high FROM ({_drawn_auc('score')}) WHERE auc IS NOT NULL")
 def cluster_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    out = evaluation.cluster_bootstrap(_scored(spark, sf), "source", draws=50)
+    out = evaluation.cluster_bootstrap(_scored(spark, sf), "source")
     return out.select("draws", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @register(f"WITH {_DRAWN} SELECT count(*) AS draws, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM (SELECT a.auc - b.auc AS x FROM ({_drawn_auc('score')}) a JOIN ({_drawn_auc('other')}) b USING (draw)) WHERE x IS NOT NULL")
 def paired_difference(spark: SparkSession, sf: str) -> DataFrame:
-    out = evaluation.cluster_bootstrap(_scored(spark, sf), "source", draws=50, other="other")
+    out = evaluation.cluster_bootstrap(_scored(spark, sf), "source", other="other")
     return out.select("draws", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
@@ -182,11 +182,11 @@ def moments(spark: SparkSession, sf: str) -> DataFrame:
 @register("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z][a-z''-]*[a-z]|[a-z]') AS w FROM documents),
   g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM t),
   c AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents),
-  k AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c GROUP BY 1 HAVING count(*) >= 5 AND count(*) <= 0.9 * (SELECT n FROM n) ORDER BY total DESC, term LIMIT 2000),
+  k AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c GROUP BY 1 HAVING count(*) >= 5 AND count(*) <= 0.9 * (SELECT n FROM n) ORDER BY total DESC, term LIMIT 200000),
   w AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n) / (1.0 + df)) + 1) AS w FROM c JOIN k USING (term), n)
   SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
 def tfidf_vectorizer(spark: SparkSession, sf: str) -> DataFrame:
-    return learn.tfidf(s.read(spark, sf, "documents"), terms=2000).withColumn("weight", F.round("weight", 6))
+    return learn.tfidf(s.read(spark, sf, "documents")).withColumn("weight", F.round("weight", 6))
 
 
 @register()

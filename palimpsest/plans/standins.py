@@ -68,10 +68,10 @@ def yearly_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def yearly_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = read(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')").selectExpr(
-        "conv_id", "turn DIV 2 AS y", "CASE role WHEN 'user' THEN 'risk_factors' ELSE 'mdna' END AS section", "text"
+    texts = read(spark, sf_dir, "conversations").selectExpr(
+        "conv_id", "turn DIV 2 AS y", "CASE role WHEN 'user' THEN 'risk_factors' ELSE 'mdna' END AS section", "struct(turn, text) AS t"
     )
-    texts = texts.groupBy("conv_id", "y", "section").agg(F.min("text").alias("text"))
+    texts = texts.groupBy("conv_id", "y", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["text"]), "\n").alias("text"))
     status = "CASE WHEN length(text) < 60 THEN 'too_short' ELSE 'found' END AS status"
     made = texts.selectExpr("conv_id * 100 + y AS accession", "section", status, "text")
     late = texts.where("conv_id % 5 = 0").selectExpr("conv_id * 100 + y + 50 AS accession", "section", status, "concat(text, ' as amended later') AS text")
@@ -137,8 +137,8 @@ CTES = {
         SELECT * FROM made UNION ALL
         SELECT accession + 50, cik, fiscal_period_end, accepted_at + INTERVAL 20 DAY, 2, true FROM made WHERE cik % 5 = 0),
     texts AS (
-        SELECT conv_id, turn // 2 AS y, CASE role WHEN 'user' THEN 'risk_factors' ELSE 'mdna' END AS section, min(text) AS text
-        FROM conversations WHERE role IN ('user', 'assistant') GROUP BY ALL),
+        SELECT conv_id, turn // 2 AS y, CASE role WHEN 'user' THEN 'risk_factors' ELSE 'mdna' END AS section, string_agg(text, chr(10) ORDER BY turn, text) AS text
+        FROM conversations GROUP BY ALL),
     yearly_sections AS (
         SELECT conv_id * 100 + y AS accession, section, CASE WHEN length(text) < 60 THEN 'too_short' ELSE 'found' END AS status, text FROM texts UNION ALL
         SELECT conv_id * 100 + y + 50, section, CASE WHEN length(text) < 60 THEN 'too_short' ELSE 'found' END, text || ' as amended later' FROM texts WHERE conv_id % 5 = 0)""",
