@@ -180,10 +180,24 @@ def firm_search(spark: SparkSession, sf: str) -> DataFrame:
     return export.search(export.firm_index(_records(spark, sf)), "00")
 
 
-@register()
+_REPORT = ("accession", "form", "is_amendment", "version_no", "fy", "period_end", "accepted_et", "dated_next_business_day", "ticker", "public_float", "revenue", "sim_rf", "sim_mdna", "words_rf", "words_mdna")
+
+
+@register(s.with_(*_EXPORT_CTES, more=_EXPORT + """,
+  kinds AS (SELECT cik, date, items, list_filter([CASE WHEN items LIKE '%1.03%' THEN 'bankruptcy' END, CASE WHEN items LIKE '%2.01%' THEN 'acquisition/disposition' END,
+    CASE WHEN items LIKE '%4.01%' THEN 'auditor change' END, CASE WHEN items LIKE '%4.02%' THEN 'restatement' END], lambda k: k IS NOT NULL) AS kinds FROM noted),
+  of_firm AS (SELECT cik, list(concat_ws('|', """ + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" if c not in ("public_float", "revenue", "sim_rf", "sim_mdna") else f"coalesce(CAST(CAST(round({c} * 10000) AS BIGINT) AS VARCHAR), '-')" for c in _REPORT)
+    + """) ORDER BY period_end NULLS LAST, version_no, accession) AS reports FROM clean GROUP BY 1),
+  of_events AS (SELECT cik, list(concat_ws('|', date, items, array_to_string(kinds, ';')) ORDER BY date, items) AS events FROM kinds GROUP BY 1)""")
+  + """SELECT f.cik, f.name, f.industry, f.current_tickers, array_to_string(r.reports, chr(10)) AS reports, coalesce(array_to_string(e.events, chr(10)), '') AS events
+  FROM filers f JOIN of_firm r USING (cik) LEFT JOIN of_events e USING (cik)""")
 def export_nested(spark: SparkSession, sf: str) -> DataFrame:
-    """Nested records as JSON; tested on a small fixture."""
-    return _records(spark, sf).select("cik", F.to_json(F.struct("*")).alias("record"))
+    """Nested records, their lists written out field by field and in order."""
+    scaled = lambda r, c: F.round(r[c] * 10000).cast("bigint") if c in ("public_float", "revenue", "sim_rf", "sim_mdna") else r[c]
+    report = lambda r: F.concat_ws("|", *(F.coalesce(scaled(r, c).cast("string"), F.lit("-")) for c in _REPORT))
+    event = lambda e: F.concat_ws("|", e["date"], e["items"], F.array_join(e["kinds"], ";"))
+    lines = lambda c, f: F.array_join(F.transform(c, f), "\n").alias(c)
+    return _records(spark, sf).select("cik", "name", "industry", "current_tickers", lines("reports", report), lines("events", event))
 
 
 @register(s.with_(*_EXPORT_CTES) + """SELECT count(*) AS reports, count(DISTINCT cik) AS firms, count(*) FILTER (is_amendment) AS amendments, min(year(fiscal_period_end)) AS first_fy, max(year(fiscal_period_end)) AS last_fy,
