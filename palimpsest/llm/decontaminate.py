@@ -1,9 +1,10 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test items.
 
-Normalised text is its words, A-Z lower-cased, joined and enclosed by single spaces, so a
-window of words occurs exactly where its normalised form does. The automaton holds every
-window of the benchmark; a document is normalised and scanned once. Hits are found at byte
-offsets of the normalised text, mapped to words, and from there to the original text.
+Normalised text is its words, A-Z lower-cased. The automaton holds every window of the
+benchmark, a word being a few symbols that number it, each from a range of its own, so that
+a window occurs exactly where its symbols do and a state has few successors. A document is
+normalised and scanned once; words that no item has are one symbol that leads nowhere. Hits
+are found at words, and these at offsets of the original text.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 WINDOW = 8
 #: Rows judged at once.
 ROWS = 1000
-#: An automaton holds windows of at most so many bytes; a larger benchmark is scanned in several.
-BLOCK_BYTES = 2_000_000
+#: Bytes of items, normalised, that one automaton holds; only a larger benchmark is scanned in several. A window takes about
+#: half a kilobyte (SYMBOLS choices for each symbol), and each of the items' words begins one.
+BLOCK_BYTES = 8_000_000
+SYMBOLS = 64
 
 #: Bytes that words consist of stay (A-Z in lower case), others become spaces. All bytes of
 #: multi-byte characters are word bytes.
@@ -36,36 +40,53 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(_TABLE).split()
 
 
-def windows_of(words: list[bytes], size: int = WINDOW) -> list[bytes]:
-    """Runs of ``size`` words, enclosed by spaces; all words if there are fewer; none if none."""
-    if not words:
-        return []
-    return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(max(1, len(words) - size + 1))]
+def windows_of(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
+    """Runs of ``size`` words; all words if there are fewer; none if none."""
+    return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
 
 
-def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """``item, window`` for each window of each item; null texts have none, a null id is named ``null``."""
+def normalised(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """``item, words`` of each item: the words of its text in a row; null texts have none, a null id is named ``null``."""
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [(i, w) for i, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in set(windows_of(words_of(raw or b""), size))]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.binary())], names=["item", "window"])
+            made = [b" ".join(words_of(raw or b"")) for raw in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(made, pa.binary())], names=["item", "words"])
 
     named = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(text).cast("binary").alias("text"))
-    return named.mapInArrow(split, "item string, window binary")
+    return named.mapInArrow(run, "item string, words binary")
+
+
+class Windows(NamedTuple):
+    """The automaton, the symbols of each word that items have, and those of any other word."""
+
+    automaton: ahocorasick.Automaton
+    symbols: dict[bytes, str]
+    other: str
 
 
-def _automaton(patterns: list[tuple[str, bytes]]) -> ahocorasick.Automaton | None:
-    by_window: dict[bytes, list[str]] = {}
-    for item, window in patterns:
-        by_window.setdefault(window, []).append(item)
+def built(items: list[tuple[str, bytes]], size: int = WINDOW) -> Windows | None:
+    """Of items as :func:`normalised` gives them; None without any window."""
+    by_window: dict[tuple[bytes, ...], set[str]] = {}
+    for item, words in items:
+        for window in windows_of(words.split(), size):
+            by_window.setdefault(window, set()).add(item)
     if not by_window:
         return None
+    number: dict[bytes, int] = {}
+    for window in by_window:
+        for word in window:
+            number.setdefault(word, len(number))
+    width = 1
+    while SYMBOLS**width < len(number):
+        width += 1
+    digits = [[chr(1 + SYMBOLS * place + k) for k in range(SYMBOLS)] for place in range(width)]
+    symbols = {word: "".join(digits[p][n // SYMBOLS**p % SYMBOLS] for p in range(width)) for word, n in number.items()}
     automaton = ahocorasick.Automaton()
-    for window, names in by_window.items():  # Latin-1 makes each byte one character
-        automaton.add_word(window.decode("latin-1"), (len(window), tuple(names)))
+    for window, names in by_window.items():
+        automaton.add_word("".join([symbols[w] for w in window]), (len(window), tuple(names)))
     automaton.make_automaton()
-    return automaton
+    return Windows(automaton, symbols, "\0" * width)
 
 
 def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,24 +95,21 @@ def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def scan(raw: bytes, automaton: ahocorasick.Automaton | None, flags: np.ndarray | None = None) -> tuple[int, np.ndarray | None, set[str]]:
+def scan(raw: bytes, held: Windows | None, flags: np.ndarray | None = None) -> tuple[int, np.ndarray | None, set[str]]:
     """Number of words, the words that are hit (None: none is), and the items with windows there."""
-    words = raw.translate(_TABLE).split()
-    if automaton is None or not words:
+    words = words_of(raw)
+    if held is None or not words:
         return len(words), flags, set()
-    joined = b" " + b" ".join(words) + b" "
-    ends, sizes, items = [], [], set()
-    for end, (size, names) in automaton.iter(joined.decode("latin-1")):
-        ends.append(end)
-        sizes.append(size)
+    get, other, width = held.symbols.get, held.other, len(held.other)
+    steps, items = None, set()
+    for end, (size, names) in held.automaton.iter("".join([get(w, other) for w in words])):
+        if steps is None:
+            steps = np.zeros(len(words) + 1, np.int64)
+        last = end // width + 1
+        steps[last - size] += 1
+        steps[last] -= 1
         items.update(names)
-    if ends:
-        blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-        last = np.searchsorted(blanks, ends)  # the word before the blank that ends the window is last - 1
-        first = np.searchsorted(blanks, np.array(ends) - np.array(sizes) + 1)
-        steps = np.zeros(len(words) + 1, np.int64)
-        np.add.at(steps, first, 1)
-        np.add.at(steps, last, -1)
+    if steps is not None:
         hit = np.cumsum(steps[:-1]) > 0
         flags = hit if flags is None else flags | hit
     return len(words), flags, items
@@ -103,45 +121,45 @@ def find_windows(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
     ``spans`` are the hit runs as code-point offsets of the original text, end exclusive;
     ``items`` the sorted ids, as strings, of the items with windows in the document. Null and
     empty texts have no words and no hits. Windows shared by items count for each of them.
-    The windows are collected only in blocks of at most BLOCK_BYTES (one block unless the
-    benchmark is larger), whatever the benchmark's size; each block is one automaton and
-    one scan. Columns of ``docs`` named like a result are replaced.
+    Only normalised items are collected, BLOCK_BYTES at most; a larger benchmark is dealt to
+    blocks by item, each an automaton and a scan of its own. Columns of ``docs`` named like a
+    result are replaced.
     """
-    made = windows(items, item_id, item_text, size).distinct()
-    total = made.agg(F.sum(F.length("window"))).first()[0] or 0
+    made = normalised(items, item_id, item_text).distinct()
+    total = made.agg(F.sum(F.length("words"))).first()[0] or 0
     blocks = -(-total * 3 // (2 * BLOCK_BYTES)) if total > BLOCK_BYTES else 1
     names = [c for c in docs.columns if c not in ("words", "hits", "spans", "items")]
     out = docs.select(*names, F.lit(0).cast("long").alias("words"), F.array().cast("array<struct<first:bigint,last:bigint>>").alias("hits"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     schema = out.schema
     for block in range(blocks):
-        part = made if blocks == 1 else made.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
+        part = made if blocks == 1 else made.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == block)
         shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
-        out = out.mapInArrow(_scanner(shared, text), schema)
+        out = out.mapInArrow(_scanner(shared, text, size), schema)
     return out
 
 
 _HELD: dict = {}
 
 
-def _scanner(shared, text: str):
+def _scanner(shared, text: str, size: int):
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _HELD:
             _HELD.clear()
-            _HELD[name] = _automaton([(i, bytes(w)) for i, w in shared.value])
-        automaton = _HELD[name]
+            _HELD[name] = built([(i, bytes(w)) for i, w in shared.value], size)
+        held = _HELD[name]
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
-                yield judged(whole.slice(at, ROWS), automaton)
+                yield judged(whole.slice(at, ROWS), held)
             pa.default_memory_pool().release_unused()
 
-    def judged(batch: pa.RecordBatch, automaton: ahocorasick.Automaton | None) -> pa.RecordBatch:
+    def judged(batch: pa.RecordBatch, held: Windows | None) -> pa.RecordBatch:
         n, hits, spans, items = [], [], [], []
         raws = batch.column(text).cast(pa.binary())
         for k, (had, named) in enumerate(zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True)):
             raw = raws[k].as_py() or b""
-            count, flags, found = scan(raw, automaton)
+            count, flags, found = scan(raw, held)
             if had:
                 flags = np.zeros(count, bool) if flags is None else flags
                 for run in had:

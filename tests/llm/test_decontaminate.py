@@ -1,3 +1,4 @@
+import random
 import re
 
 from palimpsest.llm import decontaminate as dc
@@ -39,3 +40,17 @@ def test_brute_force(spark, odd, none, monkeypatch):
     assert dc.find_windows(odd, items).count() == odd.count()
     assert dc.find_windows(none, items).count() == 0
     assert dc.find_windows(odd, items.limit(0)).where("size(items) > 0").count() == 0
+
+
+def test_many_words_of_the_items():
+    """More words than a symbol can number, some being others' beginnings."""
+    draw = random.Random(3)
+    words = [f"w{i}" for i in range(30_000)]
+    items = [(str(k), " ".join(draw.choices(words, k=draw.randint(1, 12)))) for k in range(1200)]
+    held = dc.built([(i, t.encode()) for i, t in items], 3)
+    assert len(held.other) == 3
+    for _ in range(30):
+        own = [w for _ in range(4) for w in draw.choice(items)[1].split()[: draw.randint(1, 9)] + draw.choices([*words, "none"], k=draw.randint(0, 3))]
+        n, hit, named, _ = brute(" ".join(own), items, 3)
+        count, flags, found = dc.scan(" ".join(own).encode(), held)
+        assert (count, sorted(found)) == (n, named) and hit == ([] if flags is None else flags.nonzero()[0].tolist())
