@@ -31,11 +31,14 @@ def session(name: str = "palimpsest", master: str | None = None, **more: str) ->
 def checkpoint_folder(spark: SparkSession) -> str:
     """Where checkpoints go: what ``spark.checkpoint.dir`` names, which all executors share.
 
-    Only a session without that setting (a test) gets a temporary folder.
+    Only a session on one machine may do without that setting, and gets a temporary folder.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="palimpsest-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 

@@ -1,14 +1,19 @@
-"""Writing results: whole tables, swapped tables, JSON per firm, and the run log."""
+"""Writing results: whole tables, upserted tables, JSON by firm, packed raw documents, and the run log."""
 
 from __future__ import annotations
 
+import gzip
+import json
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.upsert import keep_last, upsert
+from ..session import keep
 
 
 class AlreadyRun(Exception):
@@ -38,31 +43,68 @@ def write_once(df: DataFrame, path: str, force: bool = False) -> None:
     write(df, path)
 
 
-def upsert_table(new: DataFrame, path: str, keys: list[str], order: list[str] | None = None) -> int:
+#: Parts of a new table that is upserted by key.
+PARTS = 16
+
+
+def upsert_table(new: DataFrame, path: str, keys: list[str], order: list[str] | None = None, parts: int = PARTS) -> int:
     """Upsert ``new`` into the table at ``path`` and return its number of rows; nothing happens for none.
 
-    The new state is written beside the table and swapped in by renames, so readers see one
-    or the other. ``order`` picks among rows of ``new`` with one key.
+    Rows are dealt to ``parts`` folders by a hash of the keys, and only folders that ``new``
+    touches are written again, beside the old ones. A manifest then names the table's folders;
+    it appears whole under the next number, so readers (:func:`read_table`) see the table
+    before or after, and of two writers at once one fails. What the manifest before the last
+    named alone is removed. ``order`` picks among rows of ``new`` with one key.
     """
     spark = new.sparkSession
+    number, held = _manifest(spark, path)
+    parts = held.get("parts", parts)
     rows = keep_last(new, keys, order) if order else new.dropDuplicates(keys)
-    n = rows.count()
-    if not n:
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts)).alias("part")
+    rows = keep(rows.select("*", part.alias("__part")))
+    touched = {r[0]: r[1] for r in rows.groupBy("__part").count().collect()}  # no more than there are parts
+    if not touched:
         return 0
-    state = upsert(spark.read.parquet(path), rows, keys) if exists(spark, path) else rows
-    staged, old = f"{path}.staged-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    write(state, staged)
-    swap(spark, staged, path, old)
-    return n
-
-
-def swap(spark: SparkSession, staged: str, path: str, old: str) -> None:
-    target, fs = _path(spark, path)
-    if fs.exists(target):
-        fs.rename(target, _path(spark, old)[0])
-    if not fs.rename(_path(spark, staged)[0], target):
-        raise OSError(f"could not move {staged} to {path}")
-    fs.delete(_path(spark, old)[0], True)
+    folders = held.get("folders", {})
+    old = [f"{path}/{folders[str(k)]}" for k in touched if str(k) in folders]
+    state = upsert(spark.read.parquet(*old), rows.drop("__part"), keys) if old else rows.drop("__part")
+    batch = f"batch-{number + 1:06d}-{uuid.uuid4().hex}"
+    write(state.withColumn("__part", part).repartition("__part"), f"{path}/{batch}", by=["__part"])
+    now = folders | {str(k): f"{batch}/__part={k}" for k in touched}
+    _publish(spark, path, number + 1, {"parts": parts, "folders": now, "before": sorted(set(folders.values()) - set(now.values()))})
+    for folder in held.get("before", []):
+        target, fs = _path(spark, f"{path}/{folder}")
+        fs.delete(target, True)
+    return sum(touched.values())
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table at ``path`` as its last manifest has it; without one, all of its files."""
+    _, held = _manifest(spark, path)
+    return spark.read.parquet(*(f"{path}/{f}" for f in held["folders"].values())) if held else spark.read.parquet(path)
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict]:
+    """Number and content of the last manifest; 0 and nothing if there is none."""
+    folder, fs = _path(spark, f"{path}/_manifests")
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    last = max((n for n in names if n.isdigit()), default=None)
+    if last is None:
+        return 0, {}
+    return int(last), json.loads(spark.read.text(f"{path}/_manifests/{last}", wholetext=True).first()[0])
+
+
+def _publish(spark: SparkSession, path: str, number: int, held: dict) -> None:
+    """Write a manifest and move it to its number, which no other may have."""
+    staged, fs = _path(spark, f"{path}/_manifests/.{uuid.uuid4().hex}")
+    out = fs.create(staged)
+    out.write(bytearray(json.dumps(held).encode()))
+    out.close()
+    target = _path(spark, f"{path}/_manifests/{number:012d}")[0]
+    if fs.exists(target) or not fs.rename(staged, target):
+        fs.delete(staged, False)
+        raise OSError(f"{path} was written by another at the same time")
+    fs.delete(_path(spark, f"{path}/_manifests/{number - 2:012d}")[0], False)
 
 
 def write_json(records: DataFrame, path: str, partitions: int | None = None) -> None:
@@ -70,6 +112,33 @@ def write_json(records: DataFrame, path: str, partitions: int | None = None) ->
     (records.repartition(partitions) if partitions else records).write.mode("overwrite").option("compression", "gzip").json(path)
 
 
+def write_by_key(records: DataFrame, path: str, key: str) -> None:
+    """A folder for each key with its records as one JSON file, for readers that fetch one key; nulls left out.
+
+    A key's records meet in one task, which is meant for a record or few per key.
+    """
+    records.withColumn("key", F.col(key)).repartition("key").write.mode("overwrite").partitionBy("key").json(path)
+
+
+def pack(docs: DataFrame, raw: str = "raw") -> DataFrame:
+    """``docs`` with ``packed`` (gzip) in place of the bytes, and ``bytes_raw``, ``bytes_stored`` and ``sha256``; null stays null."""
+    names = [c for c in docs.columns if c not in (raw, "packed", "bytes_raw", "bytes_stored", "sha256")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # one document at a time: they may be large
+                row = batch.slice(k, 1)
+                content = row.column("__raw")[0].as_py()
+                packed = None if content is None else gzip.compress(content, 6, mtime=0)
+                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in names), pa.array([packed], pa.binary())], names=[*names, "packed"])
+
+    size = docs.select(*names, F.col(raw).cast("binary").alias("__raw"), F.length(F.col(raw).cast("binary")).cast("long").alias("bytes_raw"), F.sha2(F.col(raw).cast("binary"), 256).alias("sha256"))
+    names += ["bytes_raw", "sha256"]
+    schema = size.select(*names, F.lit(None).cast("binary").alias("packed")).schema
+    out = size.mapInArrow(run, schema)
+    return out.withColumn("bytes_stored", F.length("packed").cast("long"))
+
+
 @contextmanager
 def logged_run(spark: SparkSession, path: str, params: str = "{}"):
     """A row in the run log, ``running`` until the block ends and then ``ok`` or ``failed``; yields a dict for its counters."""

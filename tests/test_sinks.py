@@ -1,3 +1,6 @@
+import gzip
+import hashlib
+import json
 from datetime import date
 
 import pytest
@@ -17,8 +20,17 @@ def test_upsert(spark, tmp_path):
     assert sinks.upsert_table(old, path, ["k"]) == 2
     assert sinks.upsert_table(new.withColumn("y", F.lit(9.0)), path, ["k"]) == 2
     assert sinks.upsert_table(old.limit(0), path, ["k"]) == 0
-    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a", 1.0), (2, "B", 9.0), (3, "C", 9.0)]
-    assert [p.name for p in tmp_path.iterdir()] == ["t"]  # nothing staged is left
+    assert sorted(tuple(r) for r in sinks.read_table(spark, path).collect()) == [(1, "a", 1.0), (2, "B", 9.0), (3, "C", 9.0)]
+    folders = lambda: {p.parent.name for p in (tmp_path / "t").rglob("__part=*")}
+    assert len(folders()) == 2 and len(list((tmp_path / "t/_manifests").glob("[0-9]*"))) == 2
+    one = spark.createDataFrame([(2, "C", 1.0)], "k long, x string, y double")
+    before = sinks._manifest(spark, path)[1]["folders"]
+    assert sinks.upsert_table(one, path, ["k"]) == 1
+    after = sinks._manifest(spark, path)[1]["folders"]
+    assert sum(before[k] != after[k] for k in before) == 1  # only the part that it touches is written again
+    with pytest.raises(OSError):
+        sinks._publish(spark, path, 3, {})
+    assert sinks.read_table(spark, path).count() == 3
     assert keep_last(spark.createDataFrame([(1, 1), (1, 2)], "k long, v long"), ["k"], ["v"]).first().v == 2
 
 
@@ -28,13 +40,13 @@ def test_run_once_and_log(spark, tmp_path):
     with pytest.raises(sinks.AlreadyRun):
         sinks.write_once(spark.range(4), path)
     sinks.write_once(spark.range(4), path, force=True)
-    assert spark.read.parquet(path).count() == 4
+    assert sinks.read_table(spark, path).count() == 4
     with sinks.logged_run(spark, log) as counters:
         counters["requests"] = 5
-        assert spark.read.parquet(log).first().status == "running"
+        assert sinks.read_table(spark, log).first().status == "running"
     with pytest.raises(KeyError), sinks.logged_run(spark, log):
         raise KeyError
-    assert sorted((r.status, r.requests) for r in spark.read.parquet(log).collect()) == [("failed", 0), ("ok", 5)]
+    assert sorted((r.status, r.requests) for r in sinks.read_table(spark, log).collect()) == [("failed", 0), ("ok", 5)]
 
 
 def test_schemas(spark):
@@ -54,14 +66,38 @@ def test_documents_are_parsed_once_as_they_land(spark, tmp_path):
     body = b"<p>Item 7. Management</p><p>" + b"words " * 300 + b"</p><p>Item 8.</p>"
     land(spark, landing, [("a", bytearray(body)), ("b", None)])
     incremental.parse_landing(spark, landing, out, state, bad).awaitTermination()
-    assert {(r.accession, r.section, r.status) for r in spark.read.parquet(out).collect()} == {("a", "mdna", "found"), ("a", "risk_factors", "not_found")}
-    assert [r.accession for r in spark.read.parquet(bad).collect()] == ["b"]
+    assert {(r.accession, r.section, r.status) for r in sinks.read_table(spark, out).collect()} == {("a", "mdna", "found"), ("a", "risk_factors", "not_found")}
+    assert [r.accession for r in sinks.read_table(spark, bad).collect()] == ["b"]
     land(spark, landing, [("c", bytearray(body)), ("a", bytearray(b"changed"))])
     incremental.parse_landing(spark, landing, out, state, bad).awaitTermination()
-    rows = spark.read.parquet(out)
+    rows = sinks.read_table(spark, out)
     assert rows.count() == 4 and rows.where("accession = 'a' and section = 'mdna'").first().status == "found"  # not parsed again
     incremental.parse_landing(spark, landing, out, state, bad, version=2).awaitTermination()
-    assert spark.read.parquet(out).where("accession = 'a' and section = 'mdna'").count() == 1
+    assert sinks.read_table(spark, out).where("accession = 'a' and section = 'mdna'").count() == 1
+
+
+def test_a_document_that_fails_does_not_stop_the_others(spark, tmp_path):
+    landing, out, bad, state = (str(tmp_path / n) for n in ("landing", "out", "bad", "state"))
+    land(spark, landing, [(f"d{i}", bytearray(b"text")) for i in range(9)] + [("broken", bytearray(b"x")), ("empty", None)])
+
+    def parse(docs):
+        worse = F.when(F.col("accession") == "broken", F.raise_error(F.lit("cannot be parsed"))).otherwise(F.lit("found"))
+        return docs.select("accession", F.lit("mdna").alias("section"), worse.alias("status"), F.lit(1).alias("parser_version"))
+
+    incremental.parse_landing(spark, landing, out, state, bad, parse=parse).awaitTermination()
+    assert {r.accession for r in sinks.read_table(spark, out).collect()} == {f"d{i}" for i in range(9)}
+    failed = {r.accession: r.error for r in sinks.read_table(spark, bad).collect()}
+    assert set(failed) == {"broken", "empty"} and "cannot be parsed" in failed["broken"]
+
+
+def test_packed_documents_and_files_by_key(spark, tmp_path):
+    docs = spark.createDataFrame([(1, bytearray(b"a" * 1000), "x"), (2, None, "y"), (3, bytearray(b""), "z")], "id long, raw binary, packed string")
+    rows = {r.id: r for r in sinks.pack(docs).collect()}
+    assert gzip.decompress(rows[1].packed) == b"a" * 1000 and rows[1].bytes_raw == 1000 and rows[1].bytes_stored < 100
+    assert rows[1].sha256 == hashlib.sha256(b"a" * 1000).hexdigest() and rows[2].packed is None and gzip.decompress(rows[3].packed) == b""
+    sinks.write_by_key(docs.select("id"), str(tmp_path / "k"), "id")
+    assert sorted(p.name for p in (tmp_path / "k").glob("key=*")) == ["key=1", "key=2", "key=3"]
+    assert json.loads(next((tmp_path / "k/key=2").glob("*.json")).read_text()) == {"id": 2}
 
 
 def test_upsert_stream(spark, tmp_path):
@@ -69,7 +105,7 @@ def test_upsert_stream(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (1, "b")], "k long, v string").write.parquet(landing)
     stream = spark.readStream.schema("k long, v string").parquet(landing)
     incremental.upsert_stream(stream, table, ["k"], str(tmp_path / "c"), ["v"]).awaitTermination()
-    assert [tuple(r) for r in spark.read.parquet(table).collect()] == [(1, "b")]
+    assert [tuple(r) for r in sinks.read_table(spark, table).collect()] == [(1, "b")]
 
 
 def test_export(spark, tmp_path):
