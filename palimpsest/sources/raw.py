@@ -29,6 +29,20 @@ def read(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return files.select("path", "content").mapInArrow(_unpack, "path string, raw binary")
 
 
+def unpack(docs: DataFrame, column: str = "raw") -> DataFrame:
+    """``docs`` with the bytes of ``column`` gunzipped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                content = row.column(column)[0].as_py()
+                made = pa.array([None if content is None else unpacked(content)], pa.binary())
+                yield pa.RecordBatch.from_arrays([made if c == column else row.column(c) for c in batch.schema.names], names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def described(docs: DataFrame, raw: str = "raw") -> DataFrame:
     """``docs`` with ``bytes_raw`` and ``sha256`` of the bytes."""
     return docs.withColumns({"bytes_raw": F.length(raw).cast("long"), "sha256": F.sha2(raw, 256)})
