@@ -16,11 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, which the cluster names in ``spark.checkpoint.dir``.
 
-    A session without one (a test) gets a temporary folder.
+    A session on one machine without one (a test) gets a temporary folder.
     """
     return spark.conf.get("spark.checkpoint.dir", None) or checkpoint_folder(spark)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark's file systems have it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """The document's remainder, 0 to 3; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4))
