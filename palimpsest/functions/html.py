@@ -17,13 +17,19 @@ BLOCK_TAGS = (
 ).split()
 CELL_TAGS = ("td", "th")
 DROPPED = ("script", "style", "head", "ix:header")
-SPACES = r" \t\r\f\x0B\u00A0\u2000-\u200A\u202F\u205F\u3000"
+ASCII_SPACES, WIDE_SPACES = r" \t\r\f\x0B", r"\u00A0\u2000-\u200A\u202F\u205F\u3000"
+SPACES = ASCII_SPACES + WIDE_SPACES
 ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 
 _NAME = "[A-Za-z0-9:_-]"
 _ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """What ``then`` makes of a value that is computed once, however often it is used there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def drop_comments(html: Column) -> Column:
     return F.regexp_replace(html, r"(?s)<!--.*?-->", "")
 
@@ -42,14 +48,27 @@ def _replaced(text: Column, pattern: str, by: Callable[[Column], Column]) -> Col
     return F.array_join(F.zip_with(plain, made, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
 
 
-def split_tags(html: Column) -> Column:
-    """Block tags become line breaks, cells blanks, other tags nothing."""
+#: What a tag's name stands between until it is replaced: code points that are no characters, for use inside a process.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+
 
-    def by(tag: Column) -> Column:
-        name = F.lower(F.regexp_extract(tag, rf"^</?([A-Za-z]{_NAME}*)", 1))
-        return F.when(name.isin(*BLOCK_TAGS), "\n").when(name.isin(*CELL_TAGS), " ").otherwise("")
+def _any_of(names: tuple[str, ...]) -> str:
+    """A pattern of the names that tries each letter once."""
+    heads: dict[str, list[str]] = {}
+    for n in names:
+        heads.setdefault(n[:1], []).append(n[1:])
+    return "(?:" + "|".join(h + (_any_of(tuple(rest)) if any(rest) else "") for h, rest in sorted(heads.items(), reverse=True)) + ")"
 
-    return _replaced(html, rf"</?[A-Za-z]{_NAME}*[^>]*>", by)
+
+def split_tags(html: Column) -> Column:
+    """Block tags become line breaks, cells blanks, other tags nothing.
+
+    One pass finds the tags and leaves their names, the next ones replace names of each kind.
+    """
+    named = F.regexp_replace(html, rf"</?([A-Za-z]{_NAME}*)[^>]*>", rf"{_OPEN}$1{_CLOSE}")
+    lines = F.regexp_replace(named, rf"(?i){_OPEN}{_any_of(tuple(BLOCK_TAGS))}{_CLOSE}", "\n")
+    cells = F.regexp_replace(lines, rf"(?i){_OPEN}(?:{'|'.join(CELL_TAGS)}){_CLOSE}", " ")
+    return F.regexp_replace(cells, f"{_OPEN}[^{_CLOSE}]*{_CLOSE}", "")
 
 
 def _character(point: Column) -> Column:
@@ -74,13 +93,18 @@ def _resolved(entity: Column) -> Column:
 
 def resolve_entities(text: Column) -> Column:
     """Numeric and HTML 4 entities as their characters, in one pass; unknown names stay."""
-    return _replaced(text, _ENTITY, _resolved)
+    return once(text, lambda t: F.when(F.contains(t, F.lit("&")), _replaced(t, _ENTITY, _resolved)).otherwise(t))
 
 
 def split_lines(text: Column) -> Column:
     """Lines with blanks collapsed, without empty ones."""
-    lines = F.split(F.translate(text, ZERO_WIDTH, ""), "\n")
-    return F.filter(F.transform(lines, lambda line: F.btrim(F.regexp_replace(line, f"[{SPACES}]+", " "), F.lit(" "))), lambda line: line != "")
+    def rare(t: Column, pattern: str, by: str) -> Column:  # most texts have none, and finding that out is cheap
+        return once(t, lambda x: F.when(x.rlike(pattern), F.regexp_replace(x, pattern, by)).otherwise(x))
+
+    text = rare(rare(text, f"[{ZERO_WIDTH}]", ""), f"[{WIDE_SPACES}]", " ")
+    text = F.regexp_replace(text, f"[{ASCII_SPACES}]{{2,}}|[{ASCII_SPACES}&&[^ ]]", " ")  # a blank by itself stays
+    text = F.btrim(F.regexp_replace(text, " ?\n[ \n]*", "\n"), F.lit(" \n"))
+    return once(text, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "\n")))
 
 
 def to_lines(raw: Column, binary: bool = True) -> Column:
