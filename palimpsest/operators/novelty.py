@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import with_group
 from ..functions.text import jaccard, paragraphs, word_set
 from .reports import with_event_between
 
 
+#: Prior vectors in a row.
+BLOCK = 128
+
+
 def labelled_pairs(changes: DataFrame, reports: DataFrame, events: DataFrame, sections: DataFrame) -> DataFrame:
     """Change pairs with both texts and whether a deal fell between them."""
     marked = with_event_between(changes, reports, events)
@@ -26,12 +31,14 @@ def novelty(current: DataFrame, prior: DataFrame, keys: list[str], vector: str =
     """Mean distance (1 - cosine) of the current paragraphs to the nearest prior one, by ``keys``, weighted.
 
     Vectors need not be normalised. Keys with no prior paragraph have none. Prior vectors of
-    a key come as one array per block of 64, so the pairs of a key are never rows.
+    a key come in arrays of about BLOCK, so the pairs of a key are never rows and no row is
+    larger; a key of many has more of them, each in a task of its own.
     """
     norm = lambda c: F.transform(c, lambda x, n=None: x.cast("double"))
     unit = lambda df: df.withColumn("__v", norm(F.col(vector))).withColumn("__n", F.sqrt(dot(F.col("__v"), F.col("__v"))))
-    block = F.pmod(F.xxhash64(F.col("__v")), F.lit(64))
-    blocks = unit(prior).where("__n > 0").groupBy(*keys, block.alias("__block")).agg(F.collect_list(F.struct("__v", "__n")).alias("__prior"))
+    sizes = prior.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("__blocks"))
+    known = with_group(unit(prior).where("__n > 0"), sizes, keys, ["__blocks"])
+    blocks = known.groupBy(*keys, F.pmod(F.xxhash64(F.col("__v")), F.col("__blocks")).alias("__block")).agg(F.collect_list(F.struct("__v", "__n")).alias("__prior"))
     near = F.array_max(F.transform("__prior", lambda p: dot(F.col("__v"), p["__v"]) / (F.col("__n") * p["__n"])))
     cur = unit(current).where("__n > 0").withColumn("__id", F.struct(*[c for c in current.columns if c not in (vector,)]))
     best = cur.join(blocks, keys).groupBy(*keys, "__id").agg(F.max(near).alias("near"), F.first(weight).alias("__w"))

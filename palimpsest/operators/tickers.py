@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.html import to_lines
 
 # Where a ticker stands, and capitals that are none.
-_TAG = r'name="dei:TradingSymbol"[^>]*>(?:\s*<[^>]+>)*\s*([A-Za-z][A-Za-z.\-]{0,7})'
+_TAG = r'(?U)name="dei:TradingSymbol"[^>]*>(?:\s*<[^>]+>)*\s*([A-Za-z][A-Za-z.\-]{0,7})'
 _SYMBOL = (
-    r"(?:under\s+the\s+(?:ticker\s+|trading\s+)?symbols?|ticker\s+symbols?|trading\s+symbols?|symbol)"
-    r"\s*[:\"“'‘(]*\s*([A-Z]{1,5}(?:[.\-][A-Z]{1,2})?)(?![A-Za-z0-9_])"
+    r"(?U)(?:under\s+the\s+(?:ticker\s+|trading\s+)?symbols?|ticker\s+symbols?|trading\s+symbols?|symbol)"
+    r"\s*[:\"“'‘(]*\s*([A-Z]{1,5}(?:[.\-][A-Z]{1,2})?)\b"
 )
 NOT_TICKERS = ("A", "I", "THE", "OUR", "NYSE", "OTC", "OTCBB", "OTCQB", "OTCQX", "USD", "AMEX", "NASDAQ", "MKT", "LLC", "INC", "CORP", "CO", "AND", "OF", "IS", "ON", "PINK", "QB")
 
@@ -32,7 +32,8 @@ def ticker_map(docs: DataFrame, raw: str = "raw", keys: list[str] | None = None,
     """``ticker, source, candidates`` of each document not yet in ``held``: its tag, else the symbol it mentions most."""
     keys = keys or [c for c in docs.columns if c != raw]
     todo = docs if held is None else docs.join(held.select(*keys).distinct(), keys, "left_anti")
-    tag = F.upper(F.regexp_extract(F.decode(raw, "ISO-8859-1"), _TAG, 1))
+    text = F.translate(F.make_valid_utf8(F.col(raw).cast("string")), "\ufffd", "")  # bytes that are not UTF-8 are left out
+    tag = F.upper(F.regexp_extract(text, _TAG, 1))
     read = todo.select(*keys, tag.alias("tag"), F.explode(F.array(mentioned(F.array_join(to_lines(F.col(raw)), " ")))).alias("found"))
     ticker = F.when(F.col("tag") != "", F.col("tag")).otherwise(most_frequent(F.col("found")))
     source = F.when(F.col("tag") != "", "xbrl_tag").when(F.size("found") > 0, "item5_text")

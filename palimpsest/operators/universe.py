@@ -19,7 +19,7 @@ def exclusion(entity_type: Column, sic: Column) -> Column:
     )
 
 
-def draw(filers: DataFrame, seed: int, wanted: int, buckets: int = 256) -> DataFrame:
+def draw(filers: DataFrame, seed: int, wanted: int) -> DataFrame:
     """Filers in the order of a seeded hash, up to the ``wanted``-th that qualifies, with each decision.
 
     The order is cut into buckets by the hash's first two digits; counts per bucket tell how

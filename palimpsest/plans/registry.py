@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
-from . import files, findings, markets, models, outputs, texts
+from . import files, findings, landing, markets, models, outputs, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -16,7 +16,7 @@ FLAGSHIP = "section_changes"
 REPORT = (
     "universe_sample", "coverage", "timing", "share_of_total", "session_flips", "api_clock_check", "amendments", "period_disagreement", "storage", "outcome_share", "change_summary", "event_auc",
 )
-for module in (findings, texts, markets, models, files, outputs):
+for module in (findings, texts, markets, models, files, outputs, landing):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
 
