@@ -23,7 +23,8 @@ def _folder(spark: SparkSession) -> str:
     return f"{checkpoint_folder(spark)}/landing-{uuid.uuid4().hex}"
 
 
-@register("""WITH g AS (SELECT CAST(y AS INTEGER) AS year, CAST(q AS INTEGER) AS quarter, make_date(y, 3 * q - 2, 1) AS first FROM unnest(range(1994, 2002)) AS a(y), unnest(range(1, 5)) AS b(q)),
+@register("""WITH g AS (SELECT CAST(y AS INTEGER) AS year, CAST(q AS INTEGER) AS quarter, make_date(y, 3 * q - 2, 1) AS first FROM unnest(range(1994,
+      2002)) AS a(y), unnest(range(1, 5)) AS b(q)),
   landed AS (SELECT DISTINCT year(o_orderdate) AS year, quarter(o_orderdate) AS quarter FROM orders WHERE o_orderkey % 3 <> 0)
   SELECT year, quarter FROM g LEFT JOIN landed l USING (year, quarter) WHERE first <= DATE '2001-05-15'
     AND (l.year IS NULL OR date_diff('day', CAST(first + INTERVAL 3 MONTH AS DATE) - 1, DATE '2001-05-15') < 120)""")
@@ -51,7 +52,8 @@ def filer_pages(spark: SparkSession, sf: str) -> DataFrame:
     return filers.pages(_filer_docs(spark, sf), "1998-01-01")
 
 
-@register("""SELECT c_custkey AS cik, 'https://data.sec.gov/api/xbrl/companyfacts/CIK' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') || '.json' AS url FROM customer WHERE c_custkey % 7 <> 0
+@register("""SELECT c_custkey AS cik, 'https://data.sec.gov/api/xbrl/companyfacts/CIK' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') || '.json' AS url
+      FROM customer WHERE c_custkey % 7 <> 0
   AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0)""")
 def facts_missing(spark: SparkSession, sf: str) -> DataFrame:
     customers = s.read(spark, sf, "customer").select(F.col("c_custkey").alias("cik"))
@@ -66,7 +68,8 @@ def documents_to_fetch(spark: SparkSession, sf: str) -> DataFrame:
     return raw.not_landed(wanted, s.stored(spark, sf), ["accession"])
 
 
-@register("""SELECT 'S' || s_suppkey AS ticker, CASE s_suppkey % 2 WHEN 0 THEN 'NYSE' ELSE 'NASDAQ' END AS exchange, 'Stock' AS asset_type, 'USD' AS currency, DATE '1990-01-01' AS start_date, DATE '1996-01-01' + CAST(s_suppkey % 900 AS INTEGER) AS end_date
+@register("""SELECT 'S' || s_suppkey AS ticker, CASE s_suppkey % 2 WHEN 0 THEN 'NYSE' ELSE 'NASDAQ' END AS exchange, 'Stock' AS asset_type,
+      'USD' AS currency, DATE '1990-01-01' AS start_date, DATE '1996-01-01' + CAST(s_suppkey % 900 AS INTEGER) AS end_date
   FROM supplier WHERE s_suppkey % 5 <> 0""", "start_date", "end_date")
 def symbol_list(spark: SparkSession, sf: str) -> DataFrame:
     """The list is one small file, as its publisher has it."""
@@ -82,7 +85,8 @@ _MONTHS = [(y, m) for y in range(1995, 2002) for m in range(1, 13)]
 
 
 @register("""WITH m AS (SELECT y, q, (y - 1995) * 12 + q AS k FROM unnest(range(1995, 2002)) AS a(y), unnest(range(1, 13)) AS b(q))
-  SELECT last_day(make_date(y, q, 1)) AS month, round(k % 13 / 100.0, 6) AS mkt, round(k % 7 / 100.0, 6) AS smb, round(k % 5 / 100.0, 6) AS hml, round(k % 3 / 100.0, 6) AS rmw, round(k % 2 / 100.0, 6) AS cma, 0.003 AS rf, round(-(k % 11) / 100.0, 6) AS mom FROM m""", "month")
+  SELECT last_day(make_date(y, q, 1)) AS month, round(k % 13 / 100.0, 6) AS mkt, round(k % 7 / 100.0, 6) AS smb, round(k % 5 / 100.0, 6) AS hml,
+    round(k % 3 / 100.0, 6) AS rmw, round(k % 2 / 100.0, 6) AS cma, 0.003 AS rf, round(-(k % 11) / 100.0, 6) AS mom FROM m""", "month")
 def factor_files(spark: SparkSession, sf: str) -> DataFrame:
     """Both files with their captions, and the yearly block that is left out."""
     number = lambda y, m: (y - 1995) * 12 + m
@@ -118,7 +122,8 @@ def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS accession, doc_id % 5 = 0 AS bad FROM documents)
-  SELECT accession, section, CASE WHEN accession::BIGINT % 2 = 0 THEN 'unterminated' ELSE 'not_found' END AS outcome FROM d, (SELECT unnest(['risk_factors']) AS section) WHERE NOT bad
+  SELECT accession, section, CASE WHEN accession::BIGINT % 2 = 0 THEN 'unterminated' ELSE 'not_found' END AS outcome FROM d,
+    (SELECT unnest(['risk_factors']) AS section) WHERE NOT bad
   UNION ALL SELECT accession, 'mdna', 'not_found' FROM d WHERE NOT bad UNION ALL SELECT accession, NULL, 'empty' FROM d WHERE bad""")
 def stream_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that land in two parts, parsed as they come; those without bytes are in the ledger of failures."""

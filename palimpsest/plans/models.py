@@ -12,14 +12,17 @@ from . import standins as s
 QUERIES, ORACLE_SQL, register = s.registrar()
 
 
-@register(s.with_("filings", "headers", "stored", "reports", "facts", more="""k AS (SELECT * FROM annual_reports WHERE version_no = 1 AND accepted_at + INTERVAL 365 DAY <= TIMESTAMP '2001-06-30'),
+@register(s.with_("filings", "headers", "stored", "reports", "facts", more="""k AS (SELECT * FROM annual_reports WHERE version_no = 1
+      AND accepted_at + INTERVAL 365 DAY <= TIMESTAMP '2001-06-30'),
   eights AS (SELECT * FROM filings WHERE form = '8-K'),
   flt AS (SELECT accession, max(value) AS public_float FROM facts WHERE concept = 'EntityPublicFloat' AND unit = 'USD' AND value > 0 GROUP BY 1),
   lab AS (SELECT k.*, """ + ", ".join(
     f"EXISTS (SELECT 1 FROM eights f WHERE f.cik = k.cik AND f.items LIKE '%{item}%' AND f.filing_date BETWEEN CAST(k.accepted_at AS DATE) {a} AND CAST(k.accepted_at AS DATE) {b}) AS {prefix}{name}"
     for prefix, a, b in (("", "+ 1", "+ 365"), ("prior_", "- 365", "- 1")) for name, item in labels.EVENTS.items()
-) + " FROM k)") + """SELECT l.accession, l.cik, year(fiscal_period_end) AS fy, CASE WHEN year(fiscal_period_end) <= 2017 THEN 'train' WHEN year(fiscal_period_end) <= 2019 THEN 'val' ELSE 'test' END AS split,
-    f.public_float IS NOT NULL AS has_float, round(ln(1 + coalesce(f.public_float, 0)), 6) AS log_float, bankruptcy OR restatement OR auditor_change AS label, bankruptcy, restatement, auditor_change,
+) + " FROM k)") + """SELECT l.accession, l.cik, year(fiscal_period_end) AS fy, CASE WHEN year(fiscal_period_end) <= 2017 THEN 'train'
+      WHEN year(fiscal_period_end) <= 2019 THEN 'val' ELSE 'test' END AS split,
+    f.public_float IS NOT NULL AS has_float, round(ln(1 + coalesce(f.public_float, 0)), 6) AS log_float, bankruptcy OR restatement
+      OR auditor_change AS label, bankruptcy, restatement, auditor_change,
     prior_bankruptcy OR prior_restatement OR prior_auditor_change AS prior_event FROM lab l LEFT JOIN flt f USING (accession)""")
 def event_labels(spark: SparkSession, sf: str) -> DataFrame:
     first = s.reports(spark, sf).where("version_no = 1")
@@ -36,21 +39,28 @@ def fact_preference(spark: SparkSession, sf: str) -> DataFrame:
     return labels.stated_revenue(periods, s.facts(spark, sf))
 
 
-@register(r"""WITH l AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS t(i)),
-  near AS (SELECT *, max(regexp_matches(line, '(?i)(?:token|license|that )')::int) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS near FROM l),
+@register(r"""WITH l AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1,
+      len(ls) + 1)) AS t(i)),
+  near AS (SELECT *, max(regexp_matches(line, '(?i)(?:token|license|that )')::int) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 6 PRECEDING
+    AND CURRENT ROW) AS near FROM l),
   kept AS (SELECT * FROM near WHERE near = 1 AND (regexp_matches(line, '[0-9]') OR length(line) <= 300)),
-  sized AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(line) > 8000 AS over_ FROM kept),
+  sized AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    0) + length(line) > 8000 AS over_ FROM kept),
   cut AS (SELECT *, max(over_::int) OVER (PARTITION BY doc_id ORDER BY i) AS stopped FROM sized)
-  SELECT d.doc_id, CAST(length(p) AS BIGINT) AS size, md5(p) AS digest FROM (SELECT d.doc_id, coalesce((SELECT string_agg(line, chr(10) ORDER BY i) FROM cut c WHERE c.doc_id = d.doc_id AND stopped = 0), '') AS p FROM documents d) d""")
+  SELECT d.doc_id, CAST(length(p) AS BIGINT) AS size, md5(p) AS digest FROM (SELECT d.doc_id, coalesce((SELECT string_agg(line, chr(10) ORDER BY i)
+    FROM cut c WHERE c.doc_id = d.doc_id AND stopped = 0), '') AS p FROM documents d) d""")
 def passage(spark: SparkSession, sf: str) -> DataFrame:
     made = labels.passage(F.col("text"), mention=r"(?i)(?:token|license|that )")
     docs = s.read(spark, sf, "documents").select("doc_id", F.explode(F.array(made)).alias("p"))
     return docs.select("doc_id", F.length("p").cast("long").alias("size"), F.md5("p").alias("digest"))
 
 
-_PROSE = """prose AS (SELECT o_orderkey, o_totalprice * CASE o_orderkey % 3 WHEN 0 THEN 1000 WHEN 1 THEN 1 ELSE 1000000 END AS usd, CASE o_orderkey % 6
-    WHEN 0 THEN 'Total revenues were $' || format('{:,.2f}', o_totalprice) || ' million for the year' WHEN 1 THEN '(in thousands)' || chr(10) || 'Net sales ' || format('{:,.1f}', o_totalprice) || ' and more'
-    WHEN 2 THEN 'unknown' WHEN 3 THEN 'Revenue rose to ' || format('{:,.0f}', o_totalprice) || ' billion dollars' WHEN 4 THEN 'No figure here' ELSE 'about ' || format('{:,.2f}', o_totalprice) || ' thousand million' END AS text FROM orders)"""
+_PROSE = """prose AS (SELECT o_orderkey, o_totalprice * CASE o_orderkey % 3 WHEN 0 THEN 1000 WHEN 1 THEN 1 ELSE 1000000 END AS usd,
+      CASE o_orderkey % 6
+    WHEN 0 THEN 'Total revenues were $' || format('{:,.2f}', o_totalprice) || ' million for the year'
+      WHEN 1 THEN '(in thousands)' || chr(10) || 'Net sales ' || format('{:,.1f}', o_totalprice) || ' and more'
+    WHEN 2 THEN 'unknown' WHEN 3 THEN 'Revenue rose to ' || format('{:,.0f}', o_totalprice) || ' billion dollars' WHEN 4 THEN 'No figure here'
+      ELSE 'about ' || format('{:,.2f}', o_totalprice) || ' thousand million' END AS text FROM orders)"""
 
 
 def _prose(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,9 +82,12 @@ def answer_parser(spark: SparkSession, sf: str) -> DataFrame:
     return _prose(spark, sf).select("o_orderkey", F.round(text.parse_answer(F.col("text")), 2).alias("answer"))
 
 
-_EXTRACTED = r"""extracted AS (SELECT *, CASE WHEN number = '' THEN NULL ELSE CAST(replace(number, ',', '') AS DOUBLE) * CASE coalesce(nullif(word, ''), note) WHEN 'billion' THEN 1e9 WHEN 'million' THEN 1e6 WHEN 'thousand' THEN 1e3 ELSE 1 END END AS prediction FROM (
-    SELECT *, regexp_extract(text, '(?i)(?:total\s+(?:net\s+)?revenues?|net\s+revenues?|total\s+net\s+sales|net\s+sales|revenues?)[^$0-9]{0,80}\$?\s*([0-9][0-9,]*(?:\.[0-9]+)?)\s*(billion|million|thousand)?', 1) AS number,
-      lower(regexp_extract(text, '(?i)(?:total\s+(?:net\s+)?revenues?|net\s+revenues?|total\s+net\s+sales|net\s+sales|revenues?)[^$0-9]{0,80}\$?\s*([0-9][0-9,]*(?:\.[0-9]+)?)\s*(billion|million|thousand)?', 2)) AS word,
+_EXTRACTED = r"""extracted AS (SELECT *, CASE WHEN number = '' THEN NULL ELSE CAST(replace(number, ',', '') AS DOUBLE) * CASE coalesce(nullif(word,
+      ''), note) WHEN 'billion' THEN 1e9 WHEN 'million' THEN 1e6 WHEN 'thousand' THEN 1e3 ELSE 1 END END AS prediction FROM (
+    SELECT *, regexp_extract(text, '(?i)(?:total\s+(?:net\s+)?revenues?|net\s+revenues?|total\s+net\s+sales|net\s+sales|revenues?)[^$0-9]{0,80}\$?\s*([0-9][0-9,]*(?:\.[0-9]+)?)\s*(billion|million|thousand)?',
+      1) AS number,
+      lower(regexp_extract(text, '(?i)(?:total\s+(?:net\s+)?revenues?|net\s+revenues?|total\s+net\s+sales|net\s+sales|revenues?)[^$0-9]{0,80}\$?\s*([0-9][0-9,]*(?:\.[0-9]+)?)\s*(billion|million|thousand)?',
+        2)) AS word,
       lower(regexp_extract(text, '(?i)in\s+(thousand|million|billion)s', 1)) AS note FROM prose))"""
 
 
@@ -100,14 +113,16 @@ def extraction_score(spark: SparkSession, sf: str) -> DataFrame:
     return labels.extraction_scores(rows)
 
 
-@register("""SELECT doc_id, least(len(p), 300) AS n, md5(array_to_string(p[1:300], chr(10))) AS digest FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: length(x) >= 200) AS p FROM documents)""")
+@register("""SELECT doc_id, least(len(p), 300) AS n, md5(array_to_string(p[1:300], chr(10))) AS digest FROM (SELECT doc_id,
+      list_filter(string_split(text, chr(10)), lambda x: length(x) >= 200) AS p FROM documents)""")
 def paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     docs = s.read(spark, sf, "documents").select("doc_id", text.paragraphs(F.col("text")).alias("p"))
     return docs.select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "\n")).alias("digest"))
 
 
 @register("""WITH v AS (SELECT vec_id, label, vec_id % 7 + 1 AS weight, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-  near AS (SELECT c.vec_id, c.label, c.weight, max(list_dot_product(c.e, p.e) / (sqrt(list_dot_product(c.e, c.e)) * sqrt(list_dot_product(p.e, p.e)))) AS near FROM v c JOIN v p ON p.label = c.label - 1 GROUP BY ALL)
+  near AS (SELECT c.vec_id, c.label, c.weight, max(list_dot_product(c.e, p.e) / (sqrt(list_dot_product(c.e, c.e)) * sqrt(list_dot_product(p.e,
+    p.e)))) AS near FROM v c JOIN v p ON p.label = c.label - 1 GROUP BY ALL)
   SELECT label, round(sum((1 - least(near, 1.0)) * weight) / sum(weight), 6) AS novelty, count(*) AS paragraphs FROM near GROUP BY label""")
 def paragraph_novelty(spark: SparkSession, sf: str) -> DataFrame:
     v = s.read(spark, sf, "embeddings").select("vec_id", F.col("label").alias("label"), (F.col("vec_id") % 7 + 1).alias("weight"), "embedding")
@@ -116,11 +131,16 @@ def paragraph_novelty(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("""WITH c AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn) AS prior_text FROM conversations),
-  p AS (SELECT conv_id, turn, unnest(list_filter(string_split(text, chr(10)), lambda x: length(x) >= 40)) AS paragraph, generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: length(x) >= 40), 1) - 1 AS place FROM c WHERE prior_text IS NOT NULL),
-  q AS (SELECT conv_id, turn, unnest(list_filter(string_split(prior_text, chr(10)), lambda x: length(x) >= 40)) AS prior_paragraph, generate_subscripts(list_filter(string_split(prior_text, chr(10)), lambda x: length(x) >= 40), 1) AS k FROM c WHERE prior_text IS NOT NULL),
-  w AS (SELECT *, list_distinct(regexp_extract_all(lower(paragraph), '[a-z]+')) AS a, list_distinct(regexp_extract_all(lower(prior_paragraph), '[a-z]+')) AS b FROM p JOIN q USING (conv_id, turn) WHERE place < 300 AND k <= 300),
+  p AS (SELECT conv_id, turn, unnest(list_filter(string_split(text, chr(10)), lambda x: length(x) >= 40)) AS paragraph,
+    generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: length(x) >= 40), 1) - 1 AS place FROM c WHERE prior_text IS NOT NULL),
+  q AS (SELECT conv_id, turn, unnest(list_filter(string_split(prior_text, chr(10)), lambda x: length(x) >= 40)) AS prior_paragraph,
+    generate_subscripts(list_filter(string_split(prior_text, chr(10)), lambda x: length(x) >= 40), 1) AS k FROM c WHERE prior_text IS NOT NULL),
+  w AS (SELECT *, list_distinct(regexp_extract_all(lower(paragraph), '[a-z]+')) AS a, list_distinct(regexp_extract_all(lower(prior_paragraph),
+    '[a-z]+')) AS b FROM p JOIN q USING (conv_id, turn) WHERE place < 300 AND k <= 300),
   j AS (SELECT *, len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE) AS overlap FROM w WHERE len(a) > 0 AND len(b) > 0)
-  SELECT conv_id, turn, CAST(place AS BIGINT) AS place, md5(prior_paragraph) AS prior, round(overlap, 6) AS overlap FROM (SELECT * FROM j WHERE overlap > 0 QUALIFY row_number() OVER (PARTITION BY conv_id, turn, place ORDER BY overlap DESC, k) = 1) WHERE overlap >= 0.1 AND overlap < 0.95""")
+  SELECT conv_id, turn, CAST(place AS BIGINT) AS place, md5(prior_paragraph) AS prior, round(overlap, 6) AS overlap FROM (SELECT * FROM j
+    WHERE overlap > 0 QUALIFY row_number() OVER (PARTITION BY conv_id, turn, place ORDER BY overlap DESC, k) = 1) WHERE overlap >= 0.1
+    AND overlap < 0.95""")
 def edit_pairs(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -139,19 +159,23 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("WITH " + _SCORED + """, r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM scored)
-  SELECT count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives, round((sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 6) AS auc FROM r""")
+  SELECT count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives,
+    round((sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)),
+    6) AS auc FROM r""")
 def roc_auc(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.roc_auc(_scored(spark, sf)).withColumn("auc", F.round("auc", 6))
 
 
-@register("WITH " + _SCORED + """, g AS (SELECT score, count(*) AS n, sum(label) AS p FROM scored GROUP BY 1), c AS (SELECT *, sum(n) OVER (ORDER BY score DESC) AS cn, sum(p) OVER (ORDER BY score DESC) AS cp FROM g)
+@register("WITH " + _SCORED + """, g AS (SELECT score, count(*) AS n, sum(label) AS p FROM scored GROUP BY 1), c AS (SELECT *,
+      sum(n) OVER (ORDER BY score DESC) AS cn, sum(p) OVER (ORDER BY score DESC) AS cp FROM g)
   SELECT round(sum(p * cp / CAST(cn AS DOUBLE)) / sum(p), 6) AS average_precision FROM c""")
 def average_precision(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.average_precision(_scored(spark, sf)).withColumn("average_precision", F.round("average_precision", 6))
 
 
 _CUTS = [sum(0.36787944117144233 / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)[: k + 1]) for k in range(8)]
-_DRAWN = _SCORED + """, draws AS (SELECT unnest(range(0, 2000)) AS draw), u AS (SELECT DISTINCT source, draw, CAST('0x' || substr(md5(draw || ':' || source), 1, 8) AS UBIGINT) / 4294967296.0 AS u FROM scored, draws),
+_DRAWN = _SCORED + """, draws AS (SELECT unnest(range(0, 2000)) AS draw), u AS (SELECT DISTINCT source, draw,
+      CAST('0x' || substr(md5(draw || ':' || source), 1, 8) AS UBIGINT) / 4294967296.0 AS u FROM scored, draws),
   m AS (SELECT source, draw, """ + " + ".join(f"(u >= {c!r})::int" for c in _CUTS) + " AS m FROM u)"
 
 
@@ -182,7 +206,8 @@ def moments(spark: SparkSession, sf: str) -> DataFrame:
 @register("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z][a-z''-]*[a-z]|[a-z]') AS w FROM documents),
   g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM t),
   c AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents),
-  k AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c GROUP BY 1 HAVING count(*) >= 5 AND count(*) <= 0.9 * (SELECT n FROM n) ORDER BY total DESC, term LIMIT 200000),
+  k AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c GROUP BY 1 HAVING count(*) >= 5 AND count(*) <= 0.9 * (SELECT n FROM n)
+    ORDER BY total DESC, term LIMIT 200000),
   w AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n) / (1.0 + df)) + 1) AS w FROM c JOIN k USING (term), n)
   SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
 def tfidf_vectorizer(spark: SparkSession, sf: str) -> DataFrame:

@@ -77,7 +77,9 @@ def model_outputs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(s.with_("filings", "headers", "stored", "reports", more=_OUTPUTS) + """
-  SELECT a.accession, a.cik, a.version_no, CAST(p.event_next_12m AS VARCHAR) AS event_next_12m, round(p.risk_pct, 6) AS risk_pct, CAST(d.answerable AS VARCHAR) AS answerable FROM annual_reports a LEFT JOIN pct p USING (accession) LEFT JOIN said d USING (accession) WHERE a.stored_path IS NOT NULL""")
+  SELECT a.accession, a.cik, a.version_no, CAST(p.event_next_12m AS VARCHAR) AS event_next_12m, round(p.risk_pct, 6) AS risk_pct,
+    CAST(d.answerable AS VARCHAR) AS answerable FROM annual_reports a LEFT JOIN pct p USING (accession) LEFT JOIN said d USING (accession)
+    WHERE a.stored_path IS NOT NULL""")
 def export_outputs(spark: SparkSession, sf: str) -> DataFrame:
     reports = s.reports(spark, sf).where("stored_path is not null").select("accession", "cik", "version_no")
     out = scores.with_outputs(reports, _outputs(spark, sf))
@@ -126,7 +128,9 @@ def stacked_scores(spark: SparkSession, sf: str) -> DataFrame:
     return scores.stacked(parts["val"], parts["test"], ["score", "size", "noise"]).select("doc_id", "label", F.round("score", 4).alias("score"))
 
 
-_SHOWN = """x AS (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN NULL WHEN 1 THEN o_totalprice * 1e6 WHEN 2 THEN o_totalprice * 1e5 WHEN 3 THEN o_totalprice * 1e3 WHEN 4 THEN -o_totalprice * 20 WHEN 5 THEN o_totalprice / 1e3 ELSE o_totalprice END AS usd, (o_orderkey % 997) / 997.0 - 0.3 AS low FROM orders)"""
+_SHOWN = """x AS (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN NULL WHEN 1 THEN o_totalprice * 1e6 WHEN 2 THEN o_totalprice * 1e5
+      WHEN 3 THEN o_totalprice * 1e3 WHEN 4 THEN -o_totalprice * 20 WHEN 5 THEN o_totalprice / 1e3 ELSE o_totalprice END AS usd,
+      (o_orderkey % 997) / 997.0 - 0.3 AS low FROM orders)"""
 _FIXED = "format('{{:.{}f}}', round({}, {}))"
 _SIZED = " ".join(f"WHEN abs(usd) >= {least} THEN {_FIXED.format(d, f'abs(usd) / {by}', d)} || '{sign}'" for least, by, d, sign in (("1e10", "1e9", 1, "B"), ("1e9", "1e9", 2, "B"), ("1e7", "1e6", 0, "M"), ("1e6", "1e6", 1, "M"), ("1e3", "1e3", 0, "K")))
 

@@ -99,7 +99,8 @@ CTES = {
                CASE o_orderstatus WHEN 'O' THEN '10-K' WHEN 'F' THEN '10-K/A' ELSE '8-K' END AS form,
                CAST(o_orderdate AS DATE) + CAST(o_orderkey % 3 AS INTEGER) AS filing_date,
                CASE WHEN o_orderkey % 11 <> 0 THEN make_date(year(o_orderdate) - 1, 12, 31) END AS report_date,
-               CASE WHEN o_orderkey % 7 <> 0 THEN strftime(o_orderdate + to_hours(o_orderkey % 24 + (o_orderkey % 3 - 1) * 4) + to_minutes(o_orderkey % 60), '%Y-%m-%dT%H:%M:%S.%gZ') END AS accepted_api_raw,
+               CASE WHEN o_orderkey % 7 <> 0 THEN strftime(o_orderdate + to_hours(o_orderkey % 24 + (o_orderkey % 3 - 1) * 4) + to_minutes(o_orderkey % 60),
+                 '%Y-%m-%dT%H:%M:%S.%gZ') END AS accepted_api_raw,
                CASE o_orderkey % 5 WHEN 0 THEN '1.03' WHEN 1 THEN '2.01,9.01' WHEN 2 THEN '4.01' WHEN 3 THEN '4.02,9.01' END AS items
         FROM orders)""",
     "headers": """filing_headers AS (
@@ -131,19 +132,24 @@ CTES = {
     "yearly": """turns AS (SELECT DISTINCT conv_id AS cik, turn // 2 AS y FROM conversations),
     made AS (
         SELECT cik * 100 + y AS accession, cik, DATE '2000-12-31' + CAST(365 * y AS INTEGER) AS fiscal_period_end,
-               CAST(DATE '2001-02-20' + CAST(365 * y + cik % 7 AS INTEGER) AS TIMESTAMP) AS accepted_at, CAST(1 AS BIGINT) AS version_no, false AS is_amendment
+               CAST(DATE '2001-02-20' + CAST(365 * y + cik % 7 AS INTEGER) AS TIMESTAMP) AS accepted_at, CAST(1 AS BIGINT) AS version_no,
+                 false AS is_amendment
         FROM turns),
     yearly_reports AS (
         SELECT * FROM made UNION ALL
         SELECT accession + 50, cik, fiscal_period_end, accepted_at + INTERVAL 20 DAY, 2, true FROM made WHERE cik % 5 = 0),
     texts AS (
-        SELECT conv_id, turn // 2 AS y, CASE role WHEN 'user' THEN 'risk_factors' ELSE 'mdna' END AS section, string_agg(text, chr(10) ORDER BY turn, text) AS text
+        SELECT conv_id, turn // 2 AS y, CASE role WHEN 'user' THEN 'risk_factors' ELSE 'mdna' END AS section, string_agg(text, chr(10) ORDER BY turn,
+          text) AS text
         FROM conversations GROUP BY ALL),
     yearly_sections AS (
-        SELECT conv_id * 100 + y AS accession, section, CASE WHEN length(text) < 60 THEN 'too_short' ELSE 'found' END AS status, text FROM texts UNION ALL
-        SELECT conv_id * 100 + y + 50, section, CASE WHEN length(text) < 60 THEN 'too_short' ELSE 'found' END, text || ' as amended later' FROM texts WHERE conv_id % 5 = 0)""",
+        SELECT conv_id * 100 + y AS accession, section, CASE WHEN length(text) < 60 THEN 'too_short' ELSE 'found' END AS status, text FROM texts
+          UNION ALL
+        SELECT conv_id * 100 + y + 50, section, CASE WHEN length(text) < 60 THEN 'too_short' ELSE 'found' END, text || ' as amended later' FROM texts
+          WHERE conv_id % 5 = 0)""",
     "prices": """daily AS (
-        SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS day, floor(min(l_extendedprice / l_quantity) * 100) / CAST(100.0 AS DOUBLE) AS close FROM lineitem GROUP BY ALL),
+        SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS day, floor(min(l_extendedprice / l_quantity) * 100) / CAST(100.0 AS DOUBLE) AS close
+          FROM lineitem GROUP BY ALL),
     daily_prices AS (SELECT symbol, day, CASE WHEN day(day) % 9 <> 4 THEN close ELSE 0.0 END AS adj_close, close FROM daily)""",
     "facts": """facts AS (
         SELECT l_orderkey AS accession, CASE l_returnflag WHEN 'A' THEN 'Revenues' WHEN 'N' THEN 'SalesRevenueNet' ELSE 'EntityPublicFloat' END AS concept,

@@ -33,7 +33,8 @@ def _neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return s.read(spark, sf, "conversations").select("conv_id", "turn", "text", F.lag("text").over(turns).alias("prior")).where("prior is not null")
 
 
-@register("WITH " + _NEIGHBOURS + """ SELECT conv_id, turn, round(CASE WHEN sum(a * a) = 0 OR sum(b * b) = 0 THEN 'nan' ELSE sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) END, 6) AS similarity
+@register("WITH " + _NEIGHBOURS + """ SELECT conv_id, turn, round(CASE WHEN sum(a * a) = 0 OR sum(b * b) = 0 THEN 'nan'
+      ELSE sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) END, 6) AS similarity
     FROM terms GROUP BY ALL""")
 def tf_cosine(spark: SparkSession, sf: str) -> DataFrame:
     out = change.pair_similarity(_neighbours(spark, sf), ["conv_id", "turn"], "text", "prior")
@@ -47,10 +48,13 @@ def jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("conv_id", "turn", F.round(value, 6).alias("similarity")).where(~F.isnan("similarity"))
 
 
-_PAIRS = """found AS (SELECT a.accession, a.cik, a.fiscal_period_end, a.accepted_at, a.version_no, section, text FROM yearly_reports a JOIN yearly_sections USING (accession) WHERE status = 'found'),
+_PAIRS = """found AS (SELECT a.accession, a.cik, a.fiscal_period_end, a.accepted_at, a.version_no, section, text FROM yearly_reports a
+      JOIN yearly_sections USING (accession) WHERE status = 'found'),
   pairs AS (
-    SELECT c.cik, c.section, c.accession, c.fiscal_period_end, c.accepted_at, p.accession AS prior_accession, p.fiscal_period_end AS prior_period_end, c.text, p.text AS prior_text
-    FROM found c JOIN found p ON p.cik = c.cik AND p.section = c.section AND date_diff('day', p.fiscal_period_end, c.fiscal_period_end) BETWEEN 300 AND 430 AND p.accepted_at < c.accepted_at
+    SELECT c.cik, c.section, c.accession, c.fiscal_period_end, c.accepted_at, p.accession AS prior_accession, p.fiscal_period_end AS prior_period_end,
+      c.text, p.text AS prior_text
+    FROM found c JOIN found p ON p.cik = c.cik AND p.section = c.section AND date_diff('day', p.fiscal_period_end, c.fiscal_period_end) BETWEEN 300
+      AND 430 AND p.accepted_at < c.accepted_at
     WHERE c.version_no = 1 QUALIFY row_number() OVER (PARTITION BY c.accession, c.section ORDER BY p.accepted_at DESC, p.accession DESC) = 1)"""
 
 
@@ -60,32 +64,43 @@ def pit_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CHANGES = _PAIRS + """,
-  docs AS (SELECT DISTINCT ON (accession, section) accession, section, text FROM (SELECT accession, section, text FROM pairs UNION ALL SELECT prior_accession, section, prior_text FROM pairs)),
+  docs AS (SELECT DISTINCT ON (accession, section) accession, section, text FROM (SELECT accession, section, text FROM pairs
+    UNION ALL SELECT prior_accession, section, prior_text FROM pairs)),
   years AS (SELECT accession, year(min(accepted_at)) AS y FROM yearly_reports GROUP BY 1),
-  counts AS (SELECT accession, section, y, term, count(*) AS tf FROM (SELECT accession, section, y, unnest(regexp_extract_all(lower(text), '[a-z][a-z''-]*[a-z]|[a-z]')) AS term FROM docs JOIN years USING (accession)) GROUP BY ALL),
+  counts AS (SELECT accession, section, y, term, count(*) AS tf FROM (SELECT accession, section, y, unnest(regexp_extract_all(lower(text),
+    '[a-z][a-z''-]*[a-z]|[a-z]')) AS term FROM docs JOIN years USING (accession)) GROUP BY ALL),
   df AS (SELECT section, term, count(*) AS df FROM counts GROUP BY ALL),
   nd AS (SELECT section, count(*) AS n FROM docs GROUP BY 1),
   targets AS (SELECT DISTINCT section, year(accepted_at) AS ty FROM pairs),
   dfy AS (SELECT t.section, t.ty, c.term, count(*) AS dfy FROM targets t JOIN counts c ON c.section = t.section AND c.y < t.ty GROUP BY ALL),
-  ny AS (SELECT t.section, t.ty, count(*) AS n_before FROM targets t JOIN (docs JOIN years USING (accession)) d ON d.section = t.section AND d.y < t.ty GROUP BY ALL),
+  ny AS (SELECT t.section, t.ty, count(*) AS n_before FROM targets t JOIN (docs JOIN years USING (accession)) d ON d.section = t.section
+    AND d.y < t.ty GROUP BY ALL),
   top AS (SELECT section, ty, max(ln((1 + n_before) / (1.0 + dfy)) + 1) AS top FROM dfy JOIN ny USING (section, ty) GROUP BY ALL),
   terms AS (
     SELECT accession, section, ty, term, sum(a) AS a, sum(b) AS b FROM (
-      SELECT p.accession, p.section, year(p.accepted_at) AS ty, c.term, c.tf AS a, 0 AS b FROM pairs p JOIN counts c ON c.accession = p.accession AND c.section = p.section UNION ALL
-      SELECT p.accession, p.section, year(p.accepted_at), c.term, 0, c.tf FROM pairs p JOIN counts c ON c.accession = p.prior_accession AND c.section = p.section) GROUP BY ALL),
+      SELECT p.accession, p.section, year(p.accepted_at) AS ty, c.term, c.tf AS a, 0 AS b FROM pairs p JOIN counts c ON c.accession = p.accession
+        AND c.section = p.section UNION ALL
+      SELECT p.accession, p.section, year(p.accepted_at), c.term, 0, c.tf FROM pairs p JOIN counts c ON c.accession = p.prior_accession
+        AND c.section = p.section) GROUP BY ALL),
   weighed AS (
-    SELECT accession, section, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, n_before, ln((1 + n) / (1.0 + df)) + 1 AS w, coalesce(ln((1 + n_before) / (1.0 + dfy)) + 1, top, 0) AS wp
-    FROM terms JOIN df USING (section, term) JOIN nd USING (section) LEFT JOIN ny USING (section, ty) LEFT JOIN dfy USING (section, ty, term) LEFT JOIN top USING (section, ty)),
+    SELECT accession, section, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, n_before, ln((1 + n) / (1.0 + df)) + 1 AS w,
+      coalesce(ln((1 + n_before) / (1.0 + dfy)) + 1, top, 0) AS wp
+    FROM terms JOIN df USING (section, term) JOIN nd USING (section) LEFT JOIN ny USING (section, ty) LEFT JOIN dfy USING (section, ty, term) LEFT
+      JOIN top USING (section, ty)),
   sims AS (
     SELECT accession, section, CAST(sum(a) AS BIGINT) AS words, CAST(sum(b) AS BIGINT) AS prior_words,
            CASE WHEN sum(a) = 0 OR sum(b) = 0 THEN 'nan' ELSE sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) END AS sim_cosine,
            CASE WHEN sum(a) = 0 OR sum(b) = 0 THEN 'nan' ELSE count(*) FILTER (a > 0 AND b > 0) / CAST(count(*) AS DOUBLE) END AS sim_jaccard,
-           CASE WHEN sum(a) = 0 OR sum(b) = 0 THEN 'nan' ELSE sum(a * b * w * w) / (sqrt(sum(a * a * w * w)) * sqrt(sum(b * b * w * w))) END AS sim_tfidf,
-           CASE WHEN sum(a) = 0 OR sum(b) = 0 OR max(n_before) IS NULL THEN 'nan' ELSE sum(a * b * wp * wp) / (sqrt(sum(a * a * wp * wp)) * sqrt(sum(b * b * wp * wp))) END AS sim_tfidf_pit
+           CASE WHEN sum(a) = 0 OR sum(b) = 0 THEN 'nan'
+             ELSE sum(a * b * w * w) / (sqrt(sum(a * a * w * w)) * sqrt(sum(b * b * w * w))) END AS sim_tfidf,
+           CASE WHEN sum(a) = 0 OR sum(b) = 0 OR max(n_before) IS NULL THEN 'nan'
+             ELSE sum(a * b * wp * wp) / (sqrt(sum(a * a * wp * wp)) * sqrt(sum(b * b * wp * wp))) END AS sim_tfidf_pit
     FROM weighed GROUP BY ALL),
   section_changes AS (
-    SELECT p.cik, p.section, p.accession, p.fiscal_period_end, p.accepted_at, p.prior_accession, p.prior_period_end, coalesce(words, 0) AS words, coalesce(prior_words, 0) AS prior_words,
-           coalesce(sim_cosine, 'nan') AS sim_cosine, coalesce(sim_jaccard, 'nan') AS sim_jaccard, coalesce(sim_tfidf, 'nan') AS sim_tfidf, coalesce(sim_tfidf_pit, 'nan') AS sim_tfidf_pit
+    SELECT p.cik, p.section, p.accession, p.fiscal_period_end, p.accepted_at, p.prior_accession, p.prior_period_end, coalesce(words, 0) AS words,
+      coalesce(prior_words, 0) AS prior_words,
+           coalesce(sim_cosine, 'nan') AS sim_cosine, coalesce(sim_jaccard, 'nan') AS sim_jaccard, coalesce(sim_tfidf, 'nan') AS sim_tfidf,
+             coalesce(sim_tfidf_pit, 'nan') AS sim_tfidf_pit
     FROM pairs p LEFT JOIN sims USING (accession, section))"""
 _SIMS = ("sim_cosine", "sim_jaccard", "sim_tfidf", "sim_tfidf_pit")
 _ROUNDED = ", ".join(f"CASE WHEN isnan({c}) THEN NULL ELSE round({c}, 6) END AS {c}" for c in _SIMS)
@@ -114,15 +129,19 @@ def pit_tfidf_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_changes(spark, sf)).select("accession", "section", "sim_tfidf_pit")
 
 
-@register(s.with_("yearly", more=_CHANGES) + """SELECT section, count(*) AS pairs, count(DISTINCT cik) AS firms, round(median(sim_cosine), 3) AS median_cosine, round(median(sim_jaccard), 3) AS median_jaccard,
-    round(median(sim_tfidf), 3) AS median_tfidf, round(100.0 * avg((sim_cosine > 0.9995)::int), 1) AS pct_near_verbatim FROM section_changes GROUP BY section""")
+@register(s.with_("yearly", more=_CHANGES) + """SELECT section, count(*) AS pairs, count(DISTINCT cik) AS firms, round(median(sim_cosine),
+      3) AS median_cosine, round(median(sim_jaccard), 3) AS median_jaccard,
+    round(median(sim_tfidf), 3) AS median_tfidf, round(100.0 * avg((sim_cosine > 0.9995)::int), 1) AS pct_near_verbatim FROM section_changes
+      GROUP BY section""")
 def change_summary(spark: SparkSession, sf: str) -> DataFrame:
     return findings.change_summary(_changes(spark, sf))
 
 
-_EVENTS = """eights AS (SELECT user_id AS cik, '8-K' AS form, CASE event_type WHEN 'purchase' THEN '2.01,9.01' WHEN 'error' THEN '4.02' ELSE '7.01' END AS items,
+_EVENTS = """eights AS (SELECT user_id AS cik, '8-K' AS form, CASE event_type WHEN 'purchase' THEN '2.01,9.01' WHEN 'error' THEN '4.02'
+      ELSE '7.01' END AS items,
     DATE '2001-02-01' + CAST(30 * (event_id % 50) AS INTEGER) AS filing_date FROM events),
-  marked AS (SELECT sc.*, EXISTS (SELECT 1 FROM eights f JOIN yearly_reports p ON p.accession = sc.prior_accession WHERE f.cik = sc.cik AND f.form = '8-K' AND f.items LIKE '%2.01%'
+  marked AS (SELECT sc.*, EXISTS (SELECT 1 FROM eights f JOIN yearly_reports p ON p.accession = sc.prior_accession WHERE f.cik = sc.cik
+    AND f.form = '8-K' AND f.items LIKE '%2.01%'
     AND f.filing_date > CAST(p.accepted_at AS DATE) AND f.filing_date < CAST(sc.accepted_at AS DATE)) AS had_deal FROM section_changes sc)"""
 
 
@@ -139,16 +158,21 @@ def event_exists(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(s.with_("yearly", more=_CHANGES + "," + _EVENTS + """,
-  long AS (SELECT section, had_deal, 'cosine' AS measure, sim_cosine AS sim FROM marked UNION ALL SELECT section, had_deal, 'jaccard', sim_jaccard FROM marked UNION ALL SELECT section, had_deal, 'tfidf', sim_tfidf FROM marked),
-  ranked AS (SELECT *, rank() OVER (PARTITION BY section, measure ORDER BY sim DESC) + (count(*) OVER (PARTITION BY section, measure, sim) - 1) / 2.0 AS r FROM long WHERE sim IS NOT NULL AND NOT isnan(sim))""")
+  long AS (SELECT section, had_deal, 'cosine' AS measure, sim_cosine AS sim FROM marked UNION ALL SELECT section, had_deal, 'jaccard', sim_jaccard
+    FROM marked UNION ALL SELECT section, had_deal, 'tfidf', sim_tfidf FROM marked),
+  ranked AS (SELECT *, rank() OVER (PARTITION BY section, measure ORDER BY sim DESC) + (count(*) OVER (PARTITION BY section, measure,
+    sim) - 1) / 2.0 AS r FROM long WHERE sim IS NOT NULL AND NOT isnan(sim))""")
     + """SELECT section, measure, count(*) FILTER (had_deal) AS deal_pairs, count(*) FILTER (NOT had_deal) AS other_pairs,
-    round((sum(r) FILTER (had_deal) - count(*) FILTER (had_deal) * (count(*) FILTER (had_deal) + 1) / 2.0) / (count(*) FILTER (had_deal) * count(*) FILTER (NOT had_deal)), 3) AS auc FROM ranked GROUP BY section, measure""")
+    round((sum(r) FILTER (had_deal) - count(*) FILTER (had_deal) * (count(*) FILTER (had_deal) + 1) / 2.0) / (count(*) FILTER (had_deal) * count(*) FILTER (NOT had_deal)),
+      3) AS auc FROM ranked GROUP BY section, measure""")
 def event_auc(spark: SparkSession, sf: str) -> DataFrame:
     return findings.event_auc(_changes(spark, sf), s.yearly_reports(spark, sf), _eights(spark, sf))
 
 
-@register(s.with_("yearly", more=_CHANGES + "," + _EVENTS) + """SELECT sc.cik, sc.section, sc.accession, sc.prior_accession, year(sc.fiscal_period_end) AS fy, round(sc.sim_tfidf, 6) AS sim_tfidf, sc.had_deal, md5(cur.text) AS text_md5, md5(pri.text) AS prior_md5
-    FROM marked sc JOIN yearly_sections cur ON cur.accession = sc.accession AND cur.section = sc.section JOIN yearly_sections pri ON pri.accession = sc.prior_accession AND pri.section = sc.section WHERE NOT isnan(sc.sim_tfidf)""")
+@register(s.with_("yearly", more=_CHANGES + "," + _EVENTS) + """SELECT sc.cik, sc.section, sc.accession, sc.prior_accession,
+      year(sc.fiscal_period_end) AS fy, round(sc.sim_tfidf, 6) AS sim_tfidf, sc.had_deal, md5(cur.text) AS text_md5, md5(pri.text) AS prior_md5
+    FROM marked sc JOIN yearly_sections cur ON cur.accession = sc.accession AND cur.section = sc.section
+      JOIN yearly_sections pri ON pri.accession = sc.prior_accession AND pri.section = sc.section WHERE NOT isnan(sc.sim_tfidf)""")
 def deal_pairs(spark: SparkSession, sf: str) -> DataFrame:
     out = novelty.labelled_pairs(_changes(spark, sf), s.yearly_reports(spark, sf), _eights(spark, sf), s.yearly_sections(spark, sf)).where(~F.isnan("sim_tfidf"))
     return out.select("cik", "section", "accession", "prior_accession", F.col("fy").cast("long").alias("fy"), F.round("sim_tfidf", 6).alias("sim_tfidf"), "had_deal", F.md5("text").alias("text_md5"), F.md5("prior_text").alias("prior_md5"))
@@ -187,16 +211,24 @@ def html_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Documents with headings put before some of their lines.
-_HEADED = """l AS (SELECT doc_id, i - 1 AS i, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS t(i)),
-  headed AS (SELECT doc_id, 2 * i AS k, CASE i % 5 WHEN 0 THEN 'Item ' || (1 + (doc_id + i) % 16) || CASE i % 3 WHEN 0 THEN 'A' ELSE '' END || '. Of the report'
-      WHEN 2 THEN (7 + (doc_id + i) % 3) || 'A. Controls and Procedures' ELSE '7. Management''s discussion' END AS line FROM l WHERE i % 5 IN (0, 2, 4)
+_HEADED = """l AS (SELECT doc_id, i - 1 AS i, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1,
+      len(ls) + 1)) AS t(i)),
+  headed AS (SELECT doc_id, 2 * i AS k, CASE i % 5 WHEN 0 THEN 'Item ' || (1 + (doc_id + i) % 16) || CASE i % 3 WHEN 0 THEN 'A'
+    ELSE '' END || '. Of the report'
+      WHEN 2 THEN (7 + (doc_id + i) % 3) || 'A. Controls and Procedures' ELSE '7. Management''s discussion' END AS line FROM l WHERE i % 5 IN (0, 2,
+        4)
     UNION ALL SELECT doc_id, 2 * i + 1, line FROM l),
   lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i, line FROM headed),
-  parsed AS (SELECT doc_id, i, line, regexp_extract(line, '(?i)^(?:part +i{1,3} *[,.:\\x{2013}\\x{2014}-]? *)?items? *([0-9]{1,2})(?:\\.?([a-cA-C]))?(?:[^A-Za-z0-9]|$)', ['n', 'l']) AS h,
-      regexp_extract(line, '(?s)^([0-9]{1,2})(?:\\.?([a-cA-C]))?(?:$|[^A-Za-z0-9](.*)$)', ['n', 'l', 'rest']) AS b FROM lines WHERE length(line) <= 200),
-  named AS (SELECT doc_id, i, h.n <> '' AS is_h, ltrim(h.n, '0') || upper(h.l) AS hi, ltrim(b.n, '0') || upper(b.l) AS bi, lower(trim(regexp_replace(b.rest, '^ *[.:-]? *', ''))) AS rest FROM parsed),
-  order_ AS (SELECT unnest(['1','1A','1B','1C','2','3','4','5','6','7','7A','8','9','9A','9B','9C','10','11','12','13','14','15','16']) AS item, unnest(range(1, 24)) AS rank),
-  heads AS (SELECT doc_id, i, item, rank FROM (SELECT doc_id, i, CASE WHEN is_h THEN hi WHEN bi = '9A' AND starts_with(rest, 'controls and procedures') THEN '9A'
+  parsed AS (SELECT doc_id, i, line, regexp_extract(line,
+    '(?i)^(?:part +i{1,3} *[,.:\\x{2013}\\x{2014}-]? *)?items? *([0-9]{1,2})(?:\\.?([a-cA-C]))?(?:[^A-Za-z0-9]|$)', ['n', 'l']) AS h,
+      regexp_extract(line, '(?s)^([0-9]{1,2})(?:\\.?([a-cA-C]))?(?:$|[^A-Za-z0-9](.*)$)', ['n', 'l', 'rest']) AS b FROM lines
+        WHERE length(line) <= 200),
+  named AS (SELECT doc_id, i, h.n <> '' AS is_h, ltrim(h.n, '0') || upper(h.l) AS hi, ltrim(b.n, '0') || upper(b.l) AS bi,
+    lower(trim(regexp_replace(b.rest, '^ *[.:-]? *', ''))) AS rest FROM parsed),
+  order_ AS (SELECT unnest(['1','1A','1B','1C','2','3','4','5','6','7','7A','8','9','9A','9B','9C','10','11','12','13','14','15','16']) AS item,
+    unnest(range(1, 24)) AS rank),
+  heads AS (SELECT doc_id, i, item, rank FROM (SELECT doc_id, i, CASE WHEN is_h THEN hi WHEN bi = '9A' AND starts_with(rest,
+    'controls and procedures') THEN '9A'
       WHEN bi = '7' AND starts_with(rest, 'management''s discussion') THEN '7' END AS item FROM named) JOIN order_ USING (item))"""
 
 
@@ -220,10 +252,14 @@ def headings(spark: SparkSession, sf: str) -> DataFrame:
 
 _EXTRACT = _HEADED + """,
   wanted AS (SELECT * FROM (VALUES ('risk_factors', '1A', 2), ('mdna', '7', 10)) v(section, item, r)),
-  starts AS (SELECT doc_id, section, i AS st, (SELECT min(g.i) FROM heads g WHERE g.doc_id = h.doc_id AND g.i > h.i AND g.rank > r) AS en FROM heads h JOIN wanted USING (item)),
-  sized AS (SELECT doc_id, section, st, en, coalesce((SELECT sum(length(line)) FROM lines x WHERE x.doc_id = starts.doc_id AND x.i > st AND x.i < en), 0) AS size FROM starts),
-  best AS (SELECT * FROM sized QUALIFY row_number() OVER (PARTITION BY doc_id, section ORDER BY CASE WHEN en IS NULL THEN -1 ELSE size END DESC, st) = 1),
-  bodies AS (SELECT doc_id, section, st, en, coalesce((SELECT string_agg(line, chr(10) ORDER BY i) FROM lines x WHERE x.doc_id = best.doc_id AND x.i > st AND x.i < en), '') AS body,
+  starts AS (SELECT doc_id, section, i AS st, (SELECT min(g.i) FROM heads g WHERE g.doc_id = h.doc_id AND g.i > h.i AND g.rank > r) AS en FROM heads h
+    JOIN wanted USING (item)),
+  sized AS (SELECT doc_id, section, st, en, coalesce((SELECT sum(length(line)) FROM lines x WHERE x.doc_id = starts.doc_id AND x.i > st AND x.i < en),
+    0) AS size FROM starts),
+  best AS (SELECT * FROM sized QUALIFY row_number() OVER (PARTITION BY doc_id, section ORDER BY CASE WHEN en IS NULL THEN -1 ELSE size END DESC,
+    st) = 1),
+  bodies AS (SELECT doc_id, section, st, en, coalesce((SELECT string_agg(line, chr(10) ORDER BY i) FROM lines x WHERE x.doc_id = best.doc_id
+    AND x.i > st AND x.i < en), '') AS body,
       (SELECT line FROM lines x WHERE x.doc_id = best.doc_id AND x.i = st) AS title FROM best)
   SELECT doc_id, section, CASE WHEN st IS NULL THEN 'not_found' WHEN en IS NULL THEN 'unterminated' WHEN length(body) >= 1000 THEN 'found'
       WHEN regexp_matches(title || ' ' || body, '(?i)not[ \\n]+(?:required|applicable)|smaller[ \\n]+reporting[ \\n]+compan|omitted') THEN 'omitted'
@@ -242,10 +278,13 @@ def section_extract(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Documents as reports of two sections: their letters, whole in one of them and cut short in the other; every fourth lacks the last heading.
-_BODIES = r"""b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')) AS b FROM documents WHERE doc_id % 3 <> 0),
-  p AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN b ELSE rtrim(substr(b, 1, 300)) END AS risk_factors, CASE WHEN doc_id % 2 = 0 THEN rtrim(substr(b, 1, 300)) ELSE b END AS mdna FROM b),
+_BODIES = r"""b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')) AS b FROM documents
+      WHERE doc_id % 3 <> 0),
+  p AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN b ELSE rtrim(substr(b, 1, 300)) END AS risk_factors, CASE
+    WHEN doc_id % 2 = 0 THEN rtrim(substr(b, 1, 300)) ELSE b END AS mdna FROM b),
   r AS (SELECT doc_id, 4 + (risk_factors <> '')::int + (mdna <> '')::int + (doc_id % 4 <> 0)::int AS n_lines,
-      23 + 18 + 4 + 18 + length(risk_factors) + length(mdna) + CASE WHEN doc_id % 4 <> 0 THEN 28 ELSE 0 END AS n_chars, section, CASE section WHEN 'mdna' THEN mdna ELSE risk_factors END AS body
+      23 + 18 + 4 + 18 + length(risk_factors) + length(mdna) + CASE WHEN doc_id % 4 <> 0 THEN 28 ELSE 0 END AS n_chars, section, CASE section
+        WHEN 'mdna' THEN mdna ELSE risk_factors END AS body
     FROM p, (SELECT unnest(['risk_factors', 'mdna']) AS section))"""
 
 
