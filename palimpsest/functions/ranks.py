@@ -3,7 +3,7 @@
 Rows are first counted by distinct value. Distinct values of a group fall into as many
 buckets as it takes for each to hold about ROWS, by the group's own approximate quantiles;
 running counts are taken within a bucket, and the buckets' totals, a small table, give each
-its offset.
+its offset. A group that is known to have no more than ROWS rows is sorted as it is.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import keep
 
-#: Distinct values that are ranked in one task.
+#: Rows, or distinct values, that are ranked in one task.
 ROWS = 250_000
 
 
@@ -38,8 +38,7 @@ def value_counts(df: DataFrame, keys: list[str], value: str, rows: int = ROWS, *
 
 def in_buckets(values: DataFrame, keys: list[str], value: str, rows: int = ROWS) -> tuple[DataFrame, int]:
     """``values`` with ``__bucket``, which rises with the value within ``keys``, and how many buckets the largest group has."""
-    largest = values.groupBy(*keys).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0
-    n = max(1, -(-largest // rows))
+    n = max(1, -(-largest_group(values, keys) // rows))
     if n == 1:
         return values.withColumn("__bucket", F.lit(0)), 1
     shares = F.array(*(F.lit(k / n) for k in range(1, n)))
@@ -65,12 +64,21 @@ def mid_rank(before: Column, n: Column) -> Column:
 
 def percent_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """``df`` with the mid-rank of ``value`` within ``keys`` as a share of the rows that have one."""
+    if largest_group(df, keys) <= ROWS:
+        group, ties = Window.partitionBy(*keys), Window.partitionBy(*keys, value)
+        rank = F.rank().over(group.orderBy(F.col(value).asc_nulls_last())) - 1
+        return df.withColumn(out, F.when(F.col(value).isNotNull(), mid_rank(rank, F.count("*").over(ties)) / F.count(value).over(group)))
     ranks = value_counts(df, keys, value)
     sizes = ranks.groupBy(*keys).agg(F.sum("n").alias("__size"))
     joined = with_group(ranks, sizes, keys, ["__size"]).withColumn(out, mid_rank(F.col("before"), F.col("n")) / F.col("__size"))
     return with_group(df, joined, [*keys, value], [out])
 
 
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group; one of no more than ROWS may be sorted in a task."""
+    return df.groupBy(*keys).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0
+
+
 def medians(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Medians of ``values`` by ``keys``, the mean of the middle two; null without any. NaN counts as the largest value."""
     long = df.select(*keys, F.inline(F.array(*(F.struct(F.lit(v).alias("__name"), F.col(v).cast("double").alias("__x")) for v in values))))

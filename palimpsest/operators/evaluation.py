@@ -54,11 +54,14 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, score: str = "score", label
     ones = rows.where(F.col(label).isNotNull())
     for n in names:
         ones = ones.where(F.col(n).isNotNull())
+    # A cluster's multiplicities are hashed once, not for each of its scores.
+    times = ones.select(cluster).distinct().select(cluster, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    times = times.withColumn("m", multiplicity(F.col("draw"), F.col(cluster))).where("m > 0")
     per_draw = []
     for name in names:
         counted = keep(ones.groupBy(cluster, name).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("int")).alias("p")))
         counted, _ = in_buckets(counted, [], name)
-        drawn = counted.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("m", multiplicity(F.col("draw"), F.col(cluster))).where("m > 0")
+        drawn = counted.join(times, cluster)
         sums = drawn.groupBy("draw", "__bucket", name).agg(F.sum(F.col("n") * F.col("m")).alias("n"), F.sum(F.col("p") * F.col("m")).alias("p"))
         within = Window.partitionBy("draw", "__bucket").orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
         ranked = sums.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0)))

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions import ranks
 from palimpsest.functions.ranks import percent_rank, quantile_bin, value_counts
 from palimpsest.operators import inference, market
 
@@ -117,3 +118,14 @@ def test_deflated_sharpe_and_decision():
     assert inference.deflated_sharpe({"a": trials["a"]}, "a")["expected_max_sharpe"] == 0
     assert inference.minimum_detectable_effect(trials["a"]) == pytest.approx(2.8016 * np.std(trials["a"], ddof=1) / math.sqrt(120), rel=1e-3)
     assert inference.confirmed(0.01, 2.5, 0.97) and not inference.confirmed(-0.01, 2.5, 0.97) and not inference.confirmed(0.01, 1.9, 0.97)
+
+
+def test_large_groups_give_the_same(spark, monkeypatch):
+    """Ranks and quintiles of groups that are not sorted in a task."""
+    rows = [(s, date(2020, m, 28), k, f"a{k}", (k * k * m) % 37 / 10.0 if k % 9 else None, 0.01 * (k % 13), 1.0 + k % 4) for s in ("x", "y") for m in (1, 2) for k in range(70)]
+    held = spark.createDataFrame(rows, "section string, hold date, cik long, accession string, sim double, ret double, public_float double")
+    plain = lambda df: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()), key=str)
+    want = plain(market.portfolios(held)), plain(percent_rank(held, ["section", "hold"], "sim", "p"))
+    monkeypatch.setattr(market, "ROWS", 10)
+    monkeypatch.setattr(ranks, "ROWS", 10)
+    assert (plain(market.portfolios(held)), plain(percent_rank(held, ["section", "hold"], "sim", "p"))) == want
