@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from palimpsest.llm import components, simhash
+from palimpsest.llm import components, queries, simhash
+from palimpsest.llm.common import table
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -88,3 +89,12 @@ def test_large_groups_and_clashing_columns(spark):
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and {tuple(r)[2:] for r in kept.collect()} == {tuple("abcde")}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
+def test_query_against_a_plain_version(spark):
+    """op9's rows over its whole table: fingerprints by words and bits, components by all pairs."""
+    sf = "/root/testdata/sf0.001"
+    prints = {r.doc_id: plain_fingerprint(r.text) for r in table(spark, sf, "documents").collect()}
+    roots = plain_components(prints, 4)
+    rows = queries.op9_simhash(spark, sf).collect()
+    assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in rows) == sorted((i, format(f, "016x"), roots[i]) for i, f in prints.items())
