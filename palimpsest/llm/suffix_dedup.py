@@ -1,7 +1,7 @@
 """Suffix-array dedup: remove every byte that lies in a repeated string of LENGTH bytes.
 
 Strings of SHORT bytes that repeat are found with them and reported, not removed: a passage
-of some fifty words is shorter than LENGTH.
+of some fifty words may be shorter than LENGTH.
 
 A string of SHORT bytes is a window. Windows that are equal pick the same anchor: the
 GRAM-byte substring with the least hash, at the same offset. Windows of a document that
@@ -498,11 +498,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Each byte covered by a string of ``length`` bytes that also starts elsewhere in any
     document (the same included) is removed; ``spans`` are the maximal removed runs as byte
     offsets, ``kept`` is what remains. ``n_repeated`` counts the bytes covered by such strings
-    of ``short`` bytes, removed or not. All is judged on the input; strings do not span
+    of ``short`` bytes (``length`` if that is less), removed or not. All is judged on the input; strings do not span
     documents. A null text counts as empty; texts shorter than ``length`` stay. Repeated
     rows repeat each other. An empty table gives an empty result.
     """
-    of = Sizes(length, short, gram)
+    of = Sizes(length, min(short, length), min(gram, short, length))
     own = F.col(doc_id).cast("long")
     rows = docs.select(own.alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("doc_id", *(c.alias(n) for n, c in _key(F.col("doc_id"), F.col("text")).items()), F.col("text").cast("binary").alias("__raw"))
@@ -516,7 +516,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fetched = rows.join(wanted, ["id", "key"]).select("__raw", "segments", "doc_id").mapInArrow(_fetch(of), _FETCHED)
     judged = fetched.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(_sort(of), ", ".join(f"{c} long" for c in _JUDGED))
     string = lambda count, size: F.struct(F.lit(0).cast("long").alias("first"), F.col(count).alias("count"), F.lit(size).cast("long").alias("size"))
-    repeated = met.where("repeated").select("h1", "h2", F.inline(F.array(string("windows", short), string("whole", length)))).where("count > 0")
+    repeated = met.where("repeated").select("h1", "h2", F.inline(F.array(string("windows", of.short), string("whole", of.length)))).where("count > 0")
     runs = source.mapInArrow(_cut(of, False), kinds).select("id", "key", "start", "h1", "h2")
     found = runs.join(judged.unionByName(repeated), ["h1", "h2"]).select("id", "key", F.struct((F.col("start") + F.col("first")).alias("at"), "count", "size").alias("run"))
     by_doc = found.groupBy("id", "key").agg(F.collect_set("run").alias("__runs"))  # a set, as repeated rows bring the same runs

@@ -104,6 +104,11 @@ def test_contract_columns(spark):
     assert sorted((tuple(r) for r in found.collect()), key=str) == brute(docs, sd.LENGTH, sd.SHORT)
 
 
+def test_lengths_below_the_defaults(spark):
+    docs = made(5, 20)
+    assert ours(spark.createDataFrame(docs, "doc_id long, text string"), length=30) == brute([(i, t.encode()) for i, t in docs], 30, 30)
+
+
 def test_passages_of_over_fifty_words(spark):
     """Shorter than a removed string, but told of."""
     words = "the passage that we put in two texts has some fifty words of its own".split()
