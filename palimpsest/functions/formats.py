@@ -9,8 +9,15 @@ DASH = "—"
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """With so many digits after the point, halves away from zero; what is negative keeps its sign, as zero too."""
-    return F.concat(F.when(x < 0, "-").otherwise(""), F.format_string(f"%.{digits}f", F.round(F.abs(x), digits)))
+    """With so many digits after the point, halves away from zero; what is negative keeps its sign, as zero too.
+
+    What counts is the double times ten to the ``digits``, as in the SQL and nearly as in the
+    viewer: 1.005 is below its half, so it is 1.00 and not, as its decimal form would be, 1.01.
+    """
+    size, by = F.abs(x).cast("double"), 10.0**digits
+    whole = F.rint(size * by)  # halves to even, so some of them are one short
+    near = (whole + F.when(size * by - whole == 0.5, 1.0).otherwise(0.0)) / by
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.format_string(f"%.{digits}f", F.when(size * by == float("inf"), size).otherwise(near)))
 
 
 def _known(x: Column, shown: Column) -> Column:

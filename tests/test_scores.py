@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 from pyspark.sql import functions as F
 
 from palimpsest.functions import formats
@@ -60,6 +61,22 @@ def test_formats(spark):
     assert one.select(formats.escape_html(F.lit("<a href=\"x\">'&amp;'</a>"))).first()[0] == "&lt;a href=&quot;x&quot;&gt;&#39;&amp;amp;&#39;&lt;/a&gt;"
 
 
+def test_formats_round_as_the_sql_does(spark, tmp_path):
+    """Prices whose billions lie at a half by their decimal form and below it as doubles, each under all kinds of keys."""
+    from palimpsest.plans import outputs
+
+    prices = [1005.0, 1015.0, 1255.0, 10050.0, 12550.0, 1125.0, 11250.0, 250.0, 500.0, 1500.0, 2500.0, 235450.0, 0.5]
+    con = duckdb.connect()
+    con.execute("create table orders as select CAST(row_number() over () AS BIGINT) AS o_orderkey, p AS o_totalprice FROM range(9), unnest(?::DOUBLE[]) AS t(p)", [prices])
+    con.execute(f"copy orders to '{tmp_path}/orders.parquet' (format parquet)")
+    want = con.execute(outputs.ORACLE_SQL["viewer_formats"]).fetchall()
+    got = outputs.viewer_formats(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    money = spark.createDataFrame([(1.005e9,), (1.125e9,), (1.5,), (1e300,)], "x double").select(formats.money(F.col("x"))).collect()
+    assert [r[0] for r in money[:3]] == ["$1.00B", "$1.13B", "$2"] and money[3][0].startswith("$1000")
+    assert spark.range(1).select(formats.num(F.lit(1.7e308))).first()[0].startswith("17000")
+
+
 def test_ranks_in_many_buckets(spark):
     values = [(k % 3 if k % 11 else None, float(k * k % 97) if k % 13 else float("nan")) for k in range(600)]
     df = spark.createDataFrame(values, "g long, x double")
