@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from ..functions.ranks import with_group
 from ..functions.text import jaccard, paragraphs, word_set
 from .reports import with_event_between
 
 
-#: Prior vectors in a row.
-BLOCK = 128
+#: Vectors of either side that meet in a task.
+PART = 8192
 
 
 def labelled_pairs(changes: DataFrame, reports: DataFrame, events: DataFrame, sections: DataFrame) -> DataFrame:
@@ -30,22 +32,50 @@ def dot(a: Column, b: Column) -> Column:
 def novelty(current: DataFrame, prior: DataFrame, keys: list[str], vector: str = "embedding", weight: str = "weight") -> DataFrame:
     """Mean distance (1 - cosine) of the current paragraphs to the nearest prior one, by ``keys``, weighted.
 
-    Vectors need not be normalised. Keys with no prior paragraph have none. Prior vectors of
-    a key come in arrays of about BLOCK, so the pairs of a key are never rows and no row is
-    larger; a key of many has more of them, each in a task of its own.
+    Vectors need not be normalised; only those of one length are compared. Keys with no prior
+    paragraph have none. Both sides of a key are dealt to parts of about PART rows, and each two
+    parts meet in a task of their own, as two matrices; equal prior vectors count once.
     """
-    norm = lambda c: F.transform(c, lambda x, n=None: x.cast("double"))
-    unit = lambda df: df.withColumn("__v", norm(F.col(vector))).withColumn("__n", F.sqrt(dot(F.col("__v"), F.col("__v"))))
-    sizes = prior.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("__blocks"))
-    known = with_group(unit(prior).where("__n > 0"), sizes, keys, ["__blocks"])
-    blocks = known.groupBy(*keys, F.pmod(F.xxhash64(F.col("__v")), F.col("__blocks")).alias("__block")).agg(F.collect_list(F.struct("__v", "__n")).alias("__prior"))
-    near = F.array_max(F.transform("__prior", lambda p: dot(F.col("__v"), p["__v"]) / (F.col("__n") * p["__n"])))
-    cur = unit(current).where("__n > 0").withColumn("__id", F.struct(*[c for c in current.columns if c not in (vector,)]))
-    best = cur.join(blocks, keys).groupBy(*keys, "__id").agg(F.max(near).alias("near"), F.first(weight).alias("__w"))
+    group = [*keys, "__d"]
+    left, right = _vectors(current, vector), _vectors(prior, vector)
+    parts = lambda df, name: df.groupBy(*group).agg(F.ceil(F.count("*") / PART).alias(name))
+    sizes = parts(left, "__m").join(parts(right, "__n"), group)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    cur = left.select(*group, "__v", F.struct(*[c for c in current.columns if c != vector]).alias("__id"), F.col(weight).alias("__w")).join(sizes, group)
+    cur = cur.select(*group, "__v", "__id", "__w", F.pmod(F.xxhash64("__id"), "__m").alias("__i"), each("__n").alias("__j"))
+    past = right.select(*group, "__v").distinct().join(sizes, group)
+    past = past.select(*group, "__v", F.pmod(F.xxhash64("__v"), "__n").alias("__j"), each("__m").alias("__i"))
+    kept, on = [*keys, "__id", "__w"], [*group, "__i", "__j"]
+
+    def nearest(a: pa.Table, b: pa.Table) -> pa.Table:
+        near = _nearest(_matrix(a["__v"]), _matrix(b["__v"])) if a.num_rows and b.num_rows else np.empty(0)
+        return a.select(kept).slice(0, len(near)).append_column("__near", pa.array(near, pa.float64()))
+
+    schema = cur.select(*kept, F.lit(None).cast("double").alias("__near")).schema
+    met = cur.groupBy(*on).cogroup(past.groupBy(*on)).applyInArrow(nearest, schema)
+    best = met.groupBy(*keys, "__id").agg(F.max("__near").alias("near"), F.first("__w").alias("__w"))
     distance = 1 - F.least(F.col("near"), F.lit(1.0))
     return best.groupBy(*keys).agg((F.sum(distance * F.col("__w")) / F.sum("__w")).alias("novelty"), F.count("*").alias("paragraphs"))
 
 
+def _vectors(df: DataFrame, vector: str) -> DataFrame:
+    """Rows with a vector of some length and no nulls, as ``__v`` of ``__d`` numbers."""
+    single = df.schema[vector].dataType == ArrayType(FloatType(), df.schema[vector].dataType.containsNull)
+    v = F.col(vector) if single else F.col(vector).cast("array<double>")
+    return df.withColumns({"__v": v, "__d": F.size(vector)}).where(dot(F.col("__v"), F.col("__v")) > 0)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).astype(float).reshape(len(column), -1)
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, step: int = 256) -> np.ndarray:
+    """For each row of ``a`` the largest cosine with a row of ``b``; a few rows at a time, to bound the products held."""
+    size = lambda x: np.sqrt(np.einsum("ij,ij->i", x, x))
+    n, m = size(a), size(b)
+    return np.concatenate([(a[k : k + step] @ b.T / np.outer(n[k : k + step], m)).max(axis=1) for k in range(0, len(a), step)])
+
+
 def edit_pairs(pairs: DataFrame, keys: list[str], text: str = "text", prior: str = "prior_text", least: float = 0.6, most: float = 0.95, size: int = 200) -> DataFrame:
     """Each current paragraph with its best earlier version, where the words overlap by
     ``least`` up to ``most``; the first of equally good ones."""

@@ -1,4 +1,5 @@
 import math
+import random
 from datetime import date, datetime
 
 import pytest
@@ -69,6 +70,25 @@ def test_auc_counts_ties_half(spark):
     assert (got.positives, got.negatives) == (2, 2) and got.auc == pytest.approx(0.125)
 
 
+def test_novelty_in_parts(spark, monkeypatch):
+    """Parts of either side, copies, vectors that are zero, missing, of single precision or of another length; against all pairs."""
+    monkeypatch.setattr(novelty, "PART", 3, raising=False)
+    rng = random.Random(3)
+    vectors = lambda n, d: [[rng.gauss(0, 1) for _ in range(d)] for _ in range(n)]
+    cur = [(k, 100 * k + i, float(rng.randrange(1, 5)), v) for k in (1, 2, 3) for i, v in enumerate(vectors(11, 4) + vectors(2, 3) + [[0.0] * 4, None, [1.0, None, 0.0, 0.0]])]
+    prior = [(k, v) for k in (1, 2) for v in vectors(9, 4) + [[1.0, 0.0, 0.0, 0.0]] * 7 + [[0.0] * 4, None]]
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+    whole = lambda v: v is not None and len(v) == 4 and None not in v and any(v)
+    want = {}
+    for k in (1, 2):
+        near = [(w, max(cosine(v, p) for q, p in prior if q == k and whole(p))) for c, _, w, v in cur if c == k and whole(v)]
+        want[k] = (sum(w * (1 - x) for w, x in near) / sum(w for w, _ in near), len(near))
+    for kind in ("double", "float"):
+        made = novelty.novelty(spark.createDataFrame(cur, f"k long, id long, weight double, embedding array<{kind}>"), spark.createDataFrame(prior, f"k long, embedding array<{kind}>"), ["k"])
+        got = {r.k: (r.novelty, r.paragraphs) for r in made.collect()}
+        assert got.keys() == want.keys() and all(got[k] == (pytest.approx(want[k][0], abs=1e-6), 11) and want[k][1] == 11 for k in want)
+
+
 def test_novelty_and_edits(spark):
     cur = spark.createDataFrame([(1, 1, 1.0, [1.0, 0.0]), (1, 2, 3.0, [0.0, 2.0]), (2, 3, 1.0, [1.0, 1.0])], "k long, id long, weight double, embedding array<double>")
     prior = spark.createDataFrame([(1, [1.0, 0.0]), (1, [-1.0, 0.0])], "k long, embedding array<double>")
