@@ -155,6 +155,7 @@ def run_log(spark: SparkSession, sf: str) -> DataFrame:
 def firm_files(spark: SparkSession, sf: str) -> DataFrame:
     """A file for each firm, written and read again."""
     folder = f"{_folder(spark)}/firms"
-    sinks.write_by_key(files._records(spark, sf), folder, "cik")
-    back = spark.read.json(folder)
+    records = files._records(spark, sf)
+    sinks.write_by_key(records, folder, "cik")
+    back = sinks.read_by_key(spark, folder, records.schema)
     return back.select("cik", F.size(F.filter("reports", lambda r: r["version_no"] == 1)).cast("long").alias("originals"))

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import gzip
 import json
+import os
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.upsert import keep_last, upsert
 from ..session import keep
@@ -115,9 +119,75 @@ def write_json(records: DataFrame, path: str, partitions: int | None = None) ->
 def write_by_key(records: DataFrame, path: str, key: str) -> None:
     """A folder for each key with its records as one JSON file, for readers that fetch one key; nulls left out.
 
-    A key's records meet in one task, which is meant for a record or few per key.
+    A key's records meet in one task, which is meant for a record or few per key. On a file
+    system that is mounted, the tasks write the files themselves, each moved to its name when it
+    is whole: Spark's writer takes several ms a file there, and its committer moves them one by one.
+    ``_SUCCESS`` tells that all are there. Elsewhere Spark's writer makes the same folders.
     """
-    records.withColumn("key", F.col(key)).repartition("key").write.mode("overwrite").partitionBy("key").json(path)
+    folder = _mounted(records.sparkSession, path)
+    if folder is None:
+        return records.withColumn("key", F.col(key)).repartition("key").write.mode("overwrite").partitionBy("key").json(path)
+    target, fs = _path(records.sparkSession, path)
+    fs.delete(target, True)
+    os.makedirs(folder)
+    name = F.coalesce(F.nullif(F.col(key).cast("string"), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    lines = records.select(name.alias("key"), F.to_json(F.struct(*records.columns)).alias("line")).repartition("key").sortWithinPartitions("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(batch["key"].to_pylist(), batch["line"].to_pylist(), strict=True))
+        n = 0
+        for n, (k, own) in enumerate(groupby(rows, key=itemgetter(0)), 1):
+            at = f"{folder}/key={_escaped(k)}"
+            os.makedirs(at, exist_ok=True)
+            part = f"{at}/.{uuid.uuid4().hex}"
+            with open(part, "w", encoding="utf-8") as f:
+                f.writelines(line + "\n" for _, line in own)
+            os.replace(part, f"{at}/part-0.json")
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    lines.mapInArrow(run, "n long").agg(F.sum("n")).collect()  # one row
+    open(f"{folder}/_SUCCESS", "w").close()
+
+
+def read_by_key(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The records of all files that :func:`write_by_key` made.
+
+    On a mounted file system the folder is listed by one task and the files are read by many;
+    the driver holds none of their names, as Spark's reader would.
+    """
+    folder = _mounted(spark, path)
+    if folder is None:
+        return spark.read.schema(schema).option("recursiveFileLookup", "true").json(path)
+
+    def listed(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with os.scandir(folder) as found:
+            names = (e.name for e in found if e.name.startswith("key="))
+            while some := list(islice(names, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names=["name"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in range(0, batch.num_rows, 100):
+                lines = []
+                for name in batch["name"].slice(some, 100).to_pylist():
+                    with open(f"{folder}/{name}/part-0.json", encoding="utf-8") as f:
+                        lines += f.read().removesuffix("\n").split("\n")
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["line"])
+
+    names = spark.range(0, 1, 1, 1).mapInArrow(listed, "name string").repartition(4 * spark.sparkContext.defaultParallelism, "name")
+    return names.mapInArrow(read, "line string").select(F.from_json("line", schema).alias("r")).select("r.*")
+
+
+def _mounted(spark: SparkSession, path: str) -> str | None:
+    """The folder as every process of the cluster sees it, if ``path`` is on a mounted file system."""
+    p, fs = _path(spark, path)
+    uri = fs.makeQualified(p).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+def _escaped(value: str) -> str:
+    """As Spark names the folder of a partition's value."""
+    return "".join(f"%{ord(c):02X}" if c < " " or c in "\"#%'*/:=?\\\x7f{[]^" else c for c in value)
 
 
 def pack(docs: DataFrame, raw: str = "raw") -> DataFrame:

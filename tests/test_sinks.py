@@ -100,6 +100,20 @@ def test_packed_documents_and_files_by_key(spark, tmp_path):
     assert json.loads(next((tmp_path / "k/key=2").glob("*.json")).read_text()) == {"id": 2}
 
 
+def test_files_by_key_without_a_committer(spark, tmp_path):
+    """Keys to escape, none, or with several records; the folder's own writer makes the same, and nothing of before stays."""
+    rows = [("a/b=c", 1), ("a/b=c", 2), ("", 3), (None, 4), ("é x\n", None), ("plain", 6)]
+    docs = spark.createDataFrame(rows, "k string, v long")
+    plain, path = str(tmp_path / "plain"), f"file://{tmp_path}/k"
+    docs.withColumn("key", F.col("k")).repartition("key").write.partitionBy("key").json(plain)
+    sinks.write_by_key(docs.where("v = 6").withColumn("k", F.lit("old")), path, "k")
+    sinks.write_by_key(docs, path, "k")
+    held = lambda top: {p.parent.name: sorted(x for x in p.read_text().split("\n") if x) for p in (tmp_path / top).glob("key=*/*.json")}
+    assert held("k") == held("plain") and len(held("k")) == 4
+    assert not list((tmp_path / "k").rglob("*.crc")) and (tmp_path / "k/_SUCCESS").exists()
+    assert sorted(map(str, sinks.read_by_key(spark, path, docs.schema).collect())) == sorted(map(str, docs.collect()))
+
+
 def test_upsert_stream(spark, tmp_path):
     landing, table = str(tmp_path / "l"), str(tmp_path / "t")
     spark.createDataFrame([(1, "a"), (1, "b")], "k long, v string").write.parquet(landing)
